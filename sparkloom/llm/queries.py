@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import mixing, sharding
+from sparkloom.llm import langid, mixing, sharding
 from sparkloom.llm.common import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_sharding": docs(sharding.op5_sharding),
         "op7_mixing": docs(mixing.op7_mixing),
+        "op10_language_id": docs(langid.op10_language_id),
     }
 
 
