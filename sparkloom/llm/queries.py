@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import langid, mixing, secrets, sharding
+from sparkloom.llm import langid, mixing, secrets, sharding, simhash
 from sparkloom.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda f: lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
     return {
+        "op1_simhash": docs(simhash.op1_simhash),
         "op3_secret_scan": docs(secrets.op3_secret_scan),
         "op5_sharding": docs(sharding.op5_sharding),
         "op7_mixing": docs(mixing.op7_mixing),
