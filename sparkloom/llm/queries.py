@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import langid, mixing, secrets, sharding, simhash
+from sparkloom.llm import langid, mixing, secrets, sharding, simhash, toxicity
 from sparkloom.llm.common import table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda f: lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
     return {
         "op1_simhash": docs(simhash.op1_simhash),
+        "op2_toxicity": lambda spark, sf_dir: toxicity.op2_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op3_secret_scan": docs(secrets.op3_secret_scan),
         "op5_sharding": docs(sharding.op5_sharding),
         "op7_mixing": docs(mixing.op7_mixing),
