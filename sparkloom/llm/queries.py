@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import langid, mixing, secrets, sharding, simhash, toxicity
+from sparkloom.llm import ann, langid, mixing, secrets, sharding, simhash, toxicity
 from sparkloom.llm.common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": docs(secrets.op3_secret_scan),
         "op5_sharding": docs(sharding.op5_sharding),
         "op7_mixing": docs(mixing.op7_mixing),
+        "op8_nearest": lambda spark, sf_dir: ann.op8_nearest(table(spark, sf_dir, "embeddings")),
         "op10_language_id": docs(langid.op10_language_id),
     }
 
