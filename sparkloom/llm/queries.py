@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import ann, langid, mixing, secrets, sharding, simhash, toxicity
+from sparkloom.llm import ann, brown, langid, mixing, secrets, sharding, simhash, toxicity
 from sparkloom.llm.common import table
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": lambda spark, sf_dir: toxicity.op2_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op3_secret_scan": docs(secrets.op3_secret_scan),
         "op5_sharding": docs(sharding.op5_sharding),
+        "op6_class_lm": docs(brown.op6_class_lm),
         "op7_mixing": docs(mixing.op7_mixing),
         "op8_nearest": lambda spark, sf_dir: ann.op8_nearest(table(spark, sf_dir, "embeddings")),
         "op10_language_id": docs(langid.op10_language_id),
