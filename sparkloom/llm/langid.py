@@ -21,7 +21,7 @@ DIM = 1024
 SEED = 20_011
 UNKNOWN = "und"
 SPACE = 32
-SMALL = 128  # alphabets up to this size count trigrams in a table
+TABLE = 2**21  # trigrams of alphabets up to its cube root are counted in a table, if the text is long enough for that
 CACHED = 32_768  # trigram vectors that a worker keeps
 
 _letters: np.ndarray | None = None
@@ -99,12 +99,17 @@ class Encoder:
                 self.ids[p] = len(self.points)
                 self.points.append(p)
             ids = self.ids[points]
-        if len(self.points) <= SMALL:
-            flat = np.bincount((ids[:-2] * SMALL + ids[1:-1]) * SMALL + ids[2:])
-            found = np.flatnonzero(flat)
-            counts = flat[found]
+        k = len(self.points)
+        if k**3 <= TABLE:
+            flat = (ids[:-2] * k + ids[1:-1]) * k + ids[2:]
+            if k**3 <= 16 * len(flat):
+                table = np.bincount(flat)
+                found = np.flatnonzero(table)
+                counts = table[found]
+            else:
+                found, counts = np.unique(flat, return_counts=True)
             of = np.array(self.points, np.int64)
-            a, b, c = of[found // SMALL**2], of[found // SMALL % SMALL], of[found % SMALL]
+            a, b, c = of[found // k**2], of[found // k % k], of[found % k]
         else:
             p = points.astype(np.int64)
             codes, counts = np.unique(p[:-2] << 42 | p[1:-1] << 21 | p[2:], return_counts=True)
