@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import ann, brown, langid, mixing, secrets, sharding, simhash, toxicity
+from sparkloom.llm import ann, brown, decontam, langid, mixing, secrets, sharding, simhash, toxicity
 from sparkloom.llm.common import table
 
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_class_lm": docs(brown.op6_class_lm),
         "op7_mixing": docs(mixing.op7_mixing),
         "op8_nearest": lambda spark, sf_dir: ann.op8_nearest(table(spark, sf_dir, "embeddings")),
+        "op9_decontamination": lambda spark, sf_dir: decontam.op9_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op10_language_id": docs(langid.op10_language_id),
     }
 
