@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import ann, brown, decontam, langid, mixing, secrets, sharding, simhash, toxicity
+from sparkloom.llm import ann, brown, decontam, langid, linededup, mixing, secrets, sharding, simhash, toxicity
 from sparkloom.llm.common import table
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": docs(simhash.op1_simhash),
         "op2_toxicity": lambda spark, sf_dir: toxicity.op2_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op3_secret_scan": docs(secrets.op3_secret_scan),
+        "op4_line_dedup": docs(linededup.op4_line_dedup),
         "op5_sharding": docs(sharding.op5_sharding),
         "op6_class_lm": docs(brown.op6_class_lm),
         "op7_mixing": docs(mixing.op7_mixing),
@@ -26,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": linededup.ORACLE_SQL}
