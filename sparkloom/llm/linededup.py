@@ -129,17 +129,17 @@ WITH lines AS (
   SELECT line, min((doc_id, pos)) AS first, string_split(line, ' ') AS words, row_number() OVER () AS id
   FROM lines WHERE line <> '' GROUP BY line
 ), variants AS (
-  SELECT id, first, len(words) AS n, at,
-    CASE WHEN at = 0 THEN line ELSE array_to_string(list_concat(words[1:at - 1], words[at + 1:]), ' ') END AS variant
-  FROM (SELECT *, unnest(range(0, len(words) + 1)) AS at FROM classes WHERE len(words) >= 5)
+  SELECT id, first, len(words) AS n, place,
+    CASE WHEN place = 0 THEN line ELSE array_to_string(list_concat(words[1:place - 1], words[place + 1:]), ' ') END AS variant
+  FROM (SELECT *, unnest(range(0, len(words) + 1)) AS place FROM classes WHERE len(words) >= 5)
 ), least AS (
-  SELECT variant, min(first) FILTER (at = 0) AS whole, min(first) FILTER (at > 0) AS cut FROM variants GROUP BY variant
+  SELECT variant, min(first) FILTER (place = 0) AS whole, min(first) FILTER (place > 0) AS cut FROM variants GROUP BY variant
 ), swapped AS (
-  SELECT variant, at, n, min(first) AS other FROM variants WHERE at > 0 GROUP BY ALL
+  SELECT variant, place, n, min(first) AS other FROM variants WHERE place > 0 GROUP BY ALL
 ), near AS (
-  SELECT id FROM variants JOIN swapped USING (variant, at, n) WHERE other < first
+  SELECT id FROM variants JOIN swapped USING (variant, place, n) WHERE other < first
   UNION
-  SELECT id FROM variants JOIN least USING (variant) WHERE CASE WHEN at = 0 THEN cut ELSE whole END < first
+  SELECT id FROM variants JOIN least USING (variant) WHERE CASE WHEN place = 0 THEN cut ELSE whole END < first
 ), judged AS (
   SELECT l.doc_id, l.pos, l.line = '' OR (c.first = (l.doc_id, l.pos) AND n.id IS NULL) AS stays
   FROM lines l LEFT JOIN classes c USING (line) LEFT JOIN near n ON n.id = c.id
