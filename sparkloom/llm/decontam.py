@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import rows_of, tmp
 
-TOKEN = re.compile(r"[^\W_]+")
+#: Words are what remains between ASCII punctuation and the marks and spaces of three Unicode blocks.
+MARKS = re.compile("[\u0080-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]")
+ASCII = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 BLOCK = 8  # words whose vectors are summed first
 SCALES = (16, 24, 32, 48, 64)  # windows' words, BLOCK apart; a benchmark passage is compared at the least that holds it
 RANK = 96
@@ -33,8 +35,11 @@ REACH = 32  # words looked at on either side of a window, and more for items lon
 ITEMS = 2_000  # benchmark items searched at a time: the bound on what tasks hold
 
 
-def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall((text or "").lower())
+def tokens(text: str | None) -> list[bytes]:
+    low = (text or "").lower()
+    if not low.isascii():
+        low = MARKS.sub(" ", low)
+    return low.encode("utf-8", "surrogatepass").translate(ASCII).split()
 
 
 @dataclass
@@ -51,7 +56,7 @@ class Item:
             self.masks[t] = self.masks.get(t, 0) | 1 << i
 
 
-def _encode(texts: list[str | None], terms: dict[str, int], whole: int) -> tuple[np.ndarray, np.ndarray]:
+def _encode(texts: list[str | None], terms: dict[bytes, int], whole: int) -> tuple[np.ndarray, np.ndarray]:
     """Terms of all words, each text padded to a multiple of whole; the first word of each text. Words of no term: len(terms)."""
     get, none = terms.get, len(terms)
     parts, starts, at = [], [], 0
@@ -104,7 +109,7 @@ def signs_of(terms: int, rank: int, seed: int) -> np.ndarray:
 class Search:
     """What a task needs to compare texts with the benchmark's items."""
 
-    terms: dict[str, int]
+    terms: dict[bytes, int]
     embed: np.ndarray  # idf x basis, by term; the last row is zero
     items: list[Item]
     passages: dict[int, tuple[np.ndarray, np.ndarray]]  # by scale: items' places, unit vectors in columns
@@ -183,7 +188,7 @@ def common_share(item: Item, region: np.ndarray) -> float:
     return (n - row.bit_count()) / n
 
 
-def _items(rows: list[tuple], terms: dict[str, int]) -> list[Item]:
+def _items(rows: list[tuple], terms: dict[bytes, int]) -> list[Item]:
     """The answer is the item's own if there is one, else the rarer half of its distinct words (set once idf is known)."""
     return [Item(key, [terms[w] for w in tokens(text)], {terms[w] for w in tokens(answer) if w in terms}) for key, text, answer in rows]
 
