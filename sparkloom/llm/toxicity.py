@@ -138,9 +138,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray
         return Model(np.empty(0, np.uint32), np.empty(0), 0.0)
     y = labels.astype(float)
     rate = (y.sum() + 0.5) / (n + 1)
-    found, at = np.unique(np.concatenate(rows), return_inverse=True)
-    counts = np.bincount(at, minlength=len(found)).astype(float)
-    ones = np.bincount(at, np.repeat(y, [len(r) for r in rows]), len(found))
+    found, counts = np.unique(np.concatenate(rows), return_counts=True)
+    ones = np.zeros(len(found))
+    if y.any():
+        seen, times = np.unique(np.concatenate([r for r, one in zip(rows, y, strict=True) if one]), return_counts=True)
+        ones[np.searchsorted(found, seen)] = times
     held = [np.setxor1d(a, b) for a, b in pairs]
     keys = np.union1d(found[evidence(counts, ones, rate) >= least], np.concatenate(held) if held else np.empty(0, np.uint32)).astype(np.uint32)
     x, a, b = _Rows(rows, keys), _Rows([p[0] for p in pairs], keys), _Rows([p[1] for p in pairs], keys)
@@ -160,30 +162,33 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray
     return Model(keys, p[:-1], float(p[-1]))
 
 
-def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id",
+def fit_toxicity(documents: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id",
                  groups: Sequence[Sequence[str]] = IDENTITY_TERMS, sample: int = SAMPLE) -> Model:
-    """A model of at most sample labelled rows, those of the least hash of id and text: the documented bound on what the
-    driver holds (hashes only). Null labels and texts are left out."""
+    """A model of at most sample labelled documents, those of the least hash of the id: the documented bound on what is
+    broadcast (ids and labels) and on what the driver holds (hashes of words). Null ids, labels and texts are left out;
+    of an id's several labels the greatest counts, of its several texts the least features."""
     swap = swaps(groups)
+    label = F.col(label_col).cast("int")
+    known = labels.where(label.isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("label"))
+    few = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             own, other = [], []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(2).to_pylist():
                 words = words_in(text)
-                own.append(features(words))
-                other.append(features({swap.get(w, w) for w in words}) if words & swap.keys() else None)
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, kind), pa.array(other, kind)], names=["label", "own", "other"])
+                own.append(features(words).tobytes())
+                other.append(features({swap.get(w, w) for w in words}).tobytes() if words & swap.keys() else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.binary()), pa.array(other, pa.binary())], names=["id", "label", "own", "other"])
 
-    text, label = F.col(text_col).cast("string"), F.col(label_col).cast("int")
-    chosen = (labelled.where(text.isNotNull() & label.isin(0, 1)).select(text.alias("t"), label.alias("label"), F.xxhash64(F.col(id_col), text).alias("h"))
-              .orderBy("h", "t", "label").limit(sample).select("t", "label"))
-    got = chosen.mapInArrow(featured, "label int, own array<long>, other array<long>").toArrow()
-    as_rows = lambda c: [None if x is None else np.asarray(x, np.uint32) for x in c.to_numpy(zero_copy_only=False)]
-    own, other = (as_rows(got.column(k).combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))) for k in (1, 2))
-    pairs = [(a, b) for a, b in zip(own, other, strict=True) if b is not None]
-    return fit(own, np.array(got.column(0).to_pylist(), int), pairs)
+    texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    kind = documents.schema[id_col].dataType.simpleString()
+    got = (texts.join(few, "id").select("id", "label", "t").mapInArrow(featured, f"id {kind}, label int, own binary, other binary")
+           .groupBy("id", "label").agg(F.min(F.struct("own", "other")).alias("f")).select("id", "label", "f.own", "f.other").toArrow())
+    order = np.argsort(got.column(0).to_numpy(), kind="stable")  # sums in the same order in any run
+    hashes = lambda c: [None if x is None else np.frombuffer(x, np.uint32) for x in c.take(pa.array(order)).to_pylist()]
+    own, other = hashes(got.column(2)), hashes(got.column(3))
+    return fit(own, got.column(1).to_numpy()[order], [(a, b) for a, b in zip(own, other, strict=True) if b is not None])
 
 
 def score_toxicity(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -208,8 +213,5 @@ def score_toxicity(df: DataFrame, model: Model, text_col: str = "text") -> DataF
 def op2_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's result: a model of labelled rows that aren't held out, applied to all documents."""
     held_out = crc32_mod("doc_id", 5) == 0
-    known = labels.where(~held_out & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    # as many labels as could be used, by the same hash of the id, before their texts are fetched
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE)
-    model = fit_toxicity(documents.select("doc_id", "text").join(few, "doc_id"))
+    model = fit_toxicity(documents, labels.where(~held_out))
     return score_toxicity(documents.select("doc_id", held_out.alias("held_out"), "text"), model)
