@@ -79,7 +79,7 @@ def exchange(pairs: np.ndarray, start: np.ndarray, fixed: np.ndarray, classes: i
             n[a, a] += own
             r[a] -= own
             l[a] -= own
-            outs, ins = n.sum(1), n.sum(0)
+            outs, ins = n.sum(1) + l, n.sum(0) + r  # s's precursors and followers stay where they are
             rows = xlogx(n + r) - xlogx(n)  # [b, j]: s's followers come to row b
             cols = xlogx(n + l[:, None]) - xlogx(n)  # [i, b]: its precursors to column b
             both = np.diagonal(n)

@@ -1,7 +1,8 @@
 """Language identification by hyperdimensional profiles.
 
 A letter is a fixed random vector of +1 and -1; a trigram binds its letters' vectors, rotated by their places, by
-multiplication; a text bundles (adds) its trigrams' vectors; a language's prototype bundles all its training texts.
+multiplication; a text bundles (adds) its trigrams' vectors; a language's prototype bundles all its training texts, each
+scaled to the same length.
 A text gets the language whose prototype, after removal of what all languages share, is nearest by cosine.
 """
 
@@ -84,10 +85,9 @@ class Encoder:
             out += counts[at:at + 4096].astype(dtype) @ self.grams(codes[at:at + 4096]).astype(dtype)
         return out
 
-    def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Of texts taken together: distinct trigram codes and their counts. Letters are lower-cased, all else is one space."""
-        joined = "  ".join([f" {t.lower()} " for t in texts if t])
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct trigram codes and their counts. Letters are lower-cased, all else is one space."""
+        points = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
         points = np.where(letter_table()[points], points, np.uint32(SPACE))
         blank = points == SPACE
         points = points[~(blank & np.concatenate(([False], blank[:-1])))] if len(points) else points
@@ -165,7 +165,12 @@ def fit_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                sums[lang] = sums.get(lang, 0) + enc.bundle(*enc.count(texts), np.float64).astype(np.int64)
+                codes, counts = zip(*(enc.count(t) for t in texts), strict=True)
+                # every text weighs the same, however long, in whole numbers
+                weights = [np.rint(c * (4096 / np.sqrt((c.astype(float) ** 2).sum() or 1.0))) for c in counts]
+                distinct, at = np.unique(np.concatenate(codes), return_inverse=True)
+                total = enc.bundle(distinct, np.bincount(at, np.concatenate(weights), len(distinct)), np.float64)
+                sums[lang] = sums.get(lang, 0) + total.astype(np.int64)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * dim, "d": np.arange(dim, dtype=np.int32), "v": v})
 
@@ -191,7 +196,7 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", keep: fl
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(profiles.dim, profiles.seed)
         for batch in rows_of(batches):
-            got = [profiles.nearest(enc.count([t])) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            got = [profiles.nearest(enc.count(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             cols = [*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             out = pa.RecordBatch.from_arrays(cols, names=[*own, "lang_pred", "score"])
             if keep is not None:

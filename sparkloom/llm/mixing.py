@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -32,45 +33,65 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], most: float = MOS
     return targets
 
 
-def fit_budget(counts: dict[int, int], target: float, most: int = MOST, window: int = 65_536) -> tuple[int, dict[int, int]]:
-    """(copies of every document, documents of each length that get one more) for the words nearest to the target.
-
-    Whole copies and then each length's even share come first; the remaining budget is a bounded knapsack over the
-    lengths left, solved by dynamic programming over a bit set of reachable sums of at most window.
-    """
-    counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
-    total = sum(n * c for n, c in counts.items())
-    copies = min(most, int(target // total)) if total else 0
-    budget = round(target - copies * total) if copies < most else 0
-    if total == 0 or budget <= 0:
-        return copies, {}
-    take = {n: c * budget // total for n, c in counts.items()}
-    rest = budget - sum(n * x for n, x in take.items())
-    for n in sorted(counts, reverse=True):  # the shares' rounding, down to the window, longest first
-        more = min(counts[n] - take[n], max(0, rest - window // 2) // n)
-        take[n] += more
-        rest -= more * n
+def _nearest_sum(spare: dict[int, int], rest: int) -> dict[int, int]:
+    """How many of each length come nearest to rest in sum, none more often than spare: bounded knapsack over the bit set
+    of reachable sums, and one more document if that overshoots by less than is missing."""
+    take: dict[int, int] = {}
     reach, steps = 1, []
     mask = (1 << (rest + 1)) - 1
-    for n in sorted(counts, reverse=True):
-        spare, part = min(counts[n] - take[n], rest // n), 1
-        while spare > 0 and not reach >> rest & 1:
-            part = min(part, spare)
+    for n in sorted(spare, reverse=True):
+        left, part = min(spare[n], rest // n), 1
+        while left > 0 and not reach >> rest & 1:
+            part = min(part, left)
             steps.append((n, part, reach))
             reach |= reach << (n * part) & mask
-            spare -= part
+            left -= part
             part *= 2
     at = reach.bit_length() - 1
+    missing = rest - at
     for n, part, before in reversed(steps):
         if not before >> at & 1:
-            take[n] += part
+            take[n] = take.get(n, 0) + part
             at -= n * part
-    return copies, {n: x for n, x in take.items() if x}
+    over = min((n for n, c in spare.items() if c > take.get(n, 0)), default=0)
+    if missing and over and over - missing < missing:
+        take[over] = take.get(over, 0) + 1
+    return take
+
+
+def fit_budget(counts: dict[int, int], target: float, most: int = MOST, window: int = 65_536) -> tuple[int, dict[int, int]]:
+    """(copies of every document, further copies dealt to the documents of each length) for the words near the target.
+
+    Whole copies and then each length's even share come first; what remains, less than window after the longest have
+    been dealt, is fitted by _nearest_sum. Where one more copy of each document isn't enough, as beside one that is longer
+    than the target, up to most copies are used."""
+    counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
+    total = sum(n * c for n, c in counts.items())
+    copies = min(most, int(target // total)) if total else 0
+    budget = round(target - copies * total) if copies < most else 0
+    if total == 0 or budget <= 0:
+        return copies, {}
+    best: tuple[float, dict[int, int]] = (math.inf, {})
+    for rounds in dict.fromkeys((1, most - copies)):
+        take = {n: c * budget // total for n, c in counts.items()}
+        rest = budget - sum(n * x for n, x in take.items())
+        for n in sorted(counts, reverse=True):
+            more = min(counts[n] * rounds - take[n], max(0, rest - window // 2) // n)
+            take[n] += more
+            rest -= more * n
+        for n, x in _nearest_sum({n: c * rounds - take[n] for n, c in counts.items()}, min(rest, window)).items():
+            take[n] += x
+        off = abs(budget - sum(n * x for n, x in take.items()))
+        if off < best[0]:
+            best = off, {n: x for n, x in take.items() if x}
+        if off <= 1:
+            break
+    return copies, best[1]
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     copies, more = fit_budget(dict(zip(pdf[SIZE].tolist(), pdf["n"].tolist(), strict=True)), float(pdf["target"].iloc[0]))
-    out = pdf[[SRC, NOSRC, SIZE, "source_size", "target"]].copy()
+    out = pdf[[SRC, NOSRC, SIZE, "n", "source_size", "target"]].copy()
     out["copies"] = copies
     out["more"] = [more.get(n, 0) for n in pdf[SIZE].tolist()]
     return out
@@ -105,7 +126,7 @@ def mix(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_co
     by_source = spark.createDataFrame(
         [(r[0], r[1], r[2], t) for r, t in zip(sums, targets, strict=True)], f"{SRC} string, {NOSRC} boolean, source_size long, target double")
     plan = durable(hist.join(by_source, [SRC, NOSRC]).groupBy(SRC, NOSRC).applyInPandas(
-        _fit, f"{SRC} string, {NOSRC} boolean, {SIZE} long, source_size long, target double, copies int, more long"))
+        _fit, f"{SRC} string, {NOSRC} boolean, {SIZE} long, n long, source_size long, target double, copies int, more long"))
     lanes = max(1, -(-(hist.agg(F.max("n")).first()[0] or 0) // lane_rows))
     lane = F.pmod(F.xxhash64(SEED), F.lit(lanes))
     key = [SRC, NOSRC, SIZE]
@@ -114,7 +135,8 @@ def mix(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_co
         *key, LANE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(OFFSET))
     ranked = sized.withColumn(LANE, lane).withColumn(RANK, F.row_number().over(Window.partitionBy(*key, LANE).orderBy(SEED)))
     joined = ranked.join(offsets.join(plan, key), [*key, LANE])
-    copies = F.col("copies") + (F.col(RANK) + F.col(OFFSET) <= F.col("more")).cast("int")
+    # further copies go round the documents of a length in the order of their ranks
+    copies = F.col("copies") + F.expr("cast(more div n as int)") + (F.col(RANK) + F.col(OFFSET) <= F.col("more") % F.col("n")).cast("int")
     return joined.select(*own, F.col(SIZE).alias("size"), "source_size", "target", (F.col(SIZE) * copies).alias("taken"))
 
 

@@ -38,11 +38,12 @@ ENCODINGS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-#: A symbol's value is its place in this order, so that the common letters of words share cells and the tests tell words
-#: from random symbols even at 20 characters.
+#: A symbol's value is its place by class (small letters, capitals, digits, others) and in this order, so that what words
+#: are made of shares cells and the tests tell words from random symbols even at 20 characters.
 ORDER = "etaoinsrhldcumfpgwybvkxjqz"
+_rank = lambda ch: (ch.isupper() + 2 * ch.isdigit() + 3 * (not ch.isalnum()), ORDER.find(ch.lower()), ch)
 PLACES = {
-    name: {ch: i for i, ch in enumerate(sorted(letters, key=lambda ch: (ORDER.find(ch.lower()) % 99, ch)))}
+    name: {ch: i for i, ch in enumerate(sorted(letters, key=_rank))}
     for name, letters in ENCODINGS.items()
 }
 P_BINS = 600  # of -log10(p), a fiftieth each

@@ -35,8 +35,10 @@ STEM = 5
 SAMPLE = 20_000
 
 
-def swaps(groups: Sequence[Sequence[str]] = IDENTITY_TERMS) -> dict[str, str]:
-    return {term: group[(i + 1) % len(group)] for group in groups for i, term in enumerate(group)}
+def swaps(groups: Sequence[Sequence[str]] = IDENTITY_TERMS) -> list[dict[str, str]]:
+    """For each distance around the groups what takes a term's place; terms that come back to themselves are left out."""
+    longest = max(map(len, groups), default=0)
+    return [{t: g[(i + k) % len(g)] for g in groups for i, t in enumerate(g) if k % len(g)} for k in range(1, longest)]
 
 
 def features(words: set[str]) -> np.ndarray:
@@ -167,7 +169,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, text_col: str = "text"
     """A model of at most sample labelled documents, those of the least hash of the id: the documented bound on what is
     broadcast (ids and labels) and on what the driver holds (hashes of words). Null ids, labels and texts are left out;
     of an id's several labels the greatest counts, of its several texts the least features."""
-    swap = swaps(groups)
+    turns = swaps(groups)
     label = F.col(label_col).cast("int")
     known = labels.where(label.isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("label"))
     few = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))
@@ -178,17 +180,18 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, text_col: str = "text"
             for text in batch.column(2).to_pylist():
                 words = words_in(text)
                 own.append(features(words).tobytes())
-                other.append(features({swap.get(w, w) for w in words}).tobytes() if words & swap.keys() else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.binary()), pa.array(other, pa.binary())], names=["id", "label", "own", "other"])
+                other.append([features({t.get(w, w) for w in words}).tobytes() for t in turns if words & t.keys()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.binary()), pa.array(other, pa.list_(pa.binary()))], names=["id", "label", "own", "other"])
 
     texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     kind = documents.schema[id_col].dataType.simpleString()
-    got = (texts.join(few, "id").select("id", "label", "t").mapInArrow(featured, f"id {kind}, label int, own binary, other binary")
+    got = (texts.join(few, "id").select("id", "label", "t").mapInArrow(featured, f"id {kind}, label int, own binary, other array<binary>")
            .groupBy("id", "label").agg(F.min(F.struct("own", "other")).alias("f")).select("id", "label", "f.own", "f.other").toArrow())
     order = np.argsort(got.column(0).to_numpy(), kind="stable")  # sums in the same order in any run
-    hashes = lambda c: [None if x is None else np.frombuffer(x, np.uint32) for x in c.take(pa.array(order)).to_pylist()]
-    own, other = hashes(got.column(2)), hashes(got.column(3))
-    return fit(own, got.column(1).to_numpy()[order], [(a, b) for a, b in zip(own, other, strict=True) if b is not None])
+    own, other = (c.take(pa.array(order)).to_pylist() for c in (got.column(2), got.column(3)))
+    own = [np.frombuffer(x, np.uint32) for x in own]
+    pairs = [(a, np.frombuffer(b, np.uint32)) for a, swapped in zip(own, other, strict=True) for b in swapped]
+    return fit(own, got.column(1).to_numpy()[order], pairs)
 
 
 def score_toxicity(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
