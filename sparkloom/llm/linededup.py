@@ -13,16 +13,13 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import durable, text_or_empty, tmp
 
 MIN_WORDS = 5
+SEGMENTS = 8  # of the second filter
 BLANKS = " \t\r\x0b\x0c"
-BROADCAST_ROWS = 1_000_000  # of two longs each: 16 MB
+BROADCAST_ROWS = 1_000_000  # of a few longs each: some 32 MB
 NONE, ID, HASH, POS, LINE, H1, H2, GONE = (tmp(x) for x in ("none", "id", "hash", "pos", "line", "h1", "h2", "gone"))
 FIRST = (NONE, ID, HASH, POS)
 
 
-def _normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(BLANKS)))
-
-
 def _words(line: Column) -> Column:
     return F.split(line, " ")
 
@@ -33,27 +30,42 @@ def _lines(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     split = df.select(
         F.col(id_col).isNull().alias(NONE), F.col(id_col).alias(ID), F.xxhash64(text).alias(HASH),
         F.posexplode(F.split(text, "\n")).alias(POS, "raw"))
-    norm = split.select(NONE, ID, HASH, POS, _normal(F.col("raw")).alias(LINE)).where(F.col(LINE) != "")
+    norm = split.select(NONE, ID, HASH, POS, F.lower(F.btrim(F.col("raw"), F.lit(BLANKS))).alias(LINE)).where(F.col(LINE) != "")
     return norm.withColumns({H1: F.xxhash64(LINE), H2: F.xxhash64(F.lit(7), F.col(LINE))})
 
 
-def _halves(words: Column) -> Column:
-    """Keys of which two lines that match have one in common: an edit leaves the first or the second half as it is.
+def _keys(words: str, n: str, segments: int) -> Column:
+    """Hashes of the line without each of its segments, of which two lines that match have one in common: an edit leaves
+    all segments but one as they are.
+
+    A line of n words also has the keys of a line of n - 1 words, for a partner that is one word shorter: what is left of
+    a segment is counted from the line's start, what is right of it from its end."""
+    out = []
+    for length in (F.col(n), F.col(n) - 1):
+        bound = [F.floor(length * j / segments).cast("int") for j in range(segments + 1)]
+        for j in range(segments):
+            right = length - bound[j + 1]
+            tail = F.when(right > 0, F.slice(words, -F.greatest(right, F.lit(1)), right))
+            out.append(F.xxhash64(length, F.lit(j), F.slice(words, F.lit(1), bound[j]), tail))
+    return F.array(*out)
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """Of (key, H1, ...) the keys that more than one distinct line has."""
+    return keys.groupBy("key").agg(F.min(H1).alias("a"), F.max(H1).alias("b")).where("a <> b").select("key")
 
-    A line of n words also has the keys of a line of n - 1 words, for a partner that is one word shorter."""
-    def of(n: Column) -> list[Column]:
-        h = F.floor(n / 2).cast("int")
-        return [F.xxhash64(n, F.lit(0), F.slice(words, F.lit(1), h)), F.xxhash64(n, F.lit(1), F.slice(words, h - n, n - h))]
 
-    return F.array(*of(F.size(words)), *of(F.size(words) - 1))
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its size allows."""
+    df = durable(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _variants(lines: DataFrame) -> DataFrame:
     """at 0: the whole line; at i: the line without its i-th word; hashed."""
-    n = F.size("words")
-    without = F.concat(F.slice("words", F.lit(1), F.greatest(F.col("at") - 1, F.lit(0))), F.slice("words", F.col("at") + 1, n))
-    return lines.withColumn("at", F.explode(F.sequence(F.lit(0), n))).select(
-        H1, H2, "first", n.alias("n"), "at", F.xxhash64(F.when(F.col("at") == 0, F.col("words")).otherwise(without)).alias("variant"))
+    without = F.concat(F.slice("words", F.lit(1), F.greatest(F.col("at") - 1, F.lit(0))), F.slice("words", F.col("at") + 1, F.col("n")))
+    cut = lines.select("ord", "n", "words", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("at"))
+    return cut.select("ord", "n", "at", F.xxhash64(F.when(F.col("at") == 0, F.col("words")).otherwise(without)).alias("variant"))
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -63,33 +75,30 @@ def _within_one(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), changed).when(F.size(a) + 1 == F.size(b), shorter(a, b)).when(F.size(a) == F.size(b) + 1, shorter(b, a)).otherwise(False)
 
 
-def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
+def near_lines(lines: DataFrame, slim: DataFrame) -> DataFrame:
     """H1, H2 of the distinct lines that have an earlier near match.
 
-    classes: H1, H2, first and halves of distinct lines. Only lines that share a half emit variants. In a group of equal
-    variants each line looks at the earliest only, which is enough: lines of equal length without the same word are all
-    within one edit of each other, and a group has at most one whole line, within one edit of all others. So a group's
-    work is in proportion to its size."""
-    halves = classes.where(F.col("halves").isNotNull()).select(H1, H2, F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1")
-    some = durable(halves.join(shared, "half", "left_semi").select(H1, H2).distinct())
-    if some.count() <= BROADCAST_ROWS:
-        some = F.broadcast(some)
-    # the words of each are read from its first place, not carried through the shuffles above
-    first = classes.join(some, [H1, H2], "left_semi").select(F.col("first.*"), F.col("first"))
-    if (n := first.count()) <= BROADCAST_ROWS // 4 and n >= 0:
-        first = F.broadcast(first)
-    same = [lines[NONE] == first[NONE], lines[ID].eqNullSafe(first[ID]), lines[HASH] == first[HASH], lines[POS] == first[POS]]
-    chosen = durable(lines.join(first, same).select(H1, H2, "first", _words(F.col(LINE)).alias("words")).dropDuplicates([H1, H2]))
+    Lines that share a half, and of these such that are equal but for a segment, emit variants; the filters lose no
+    match. In a group of equal variants each line looks at the earliest only, which is enough: lines of equal length
+    without the same word are all within one edit of each other, and a group has at most one whole line, within one edit
+    of all others. So a group's work is in proportion to its size. ord numbers lines in the order of their first place."""
+    halves = slim.where(F.col("halves").isNotNull()).select(H1, H2, F.explode("halves").alias("key"))
+    some = _small(halves.join(_small(_shared(halves)), "key", "left_semi").select(H1, H2).distinct())
+    found = lines.join(some, [H1, H2], "left_semi").groupBy(H1, H2).agg(F.min(F.struct(*FIRST)).alias("first"), F.first(LINE).alias(LINE))
+    whole = durable(found.withColumn("words", _words(F.col(LINE))).withColumn("n", F.size("words")).drop(LINE))
+    parts = whole.select(H1, H2, F.explode(_keys("words", "n", SEGMENTS)).alias("key"))
+    close = whole.join(_small(parts.join(_shared(parts), "key", "left_semi").select(H1, H2).distinct()), [H1, H2], "left_semi")
+    order = [F.col(f"first.{c}") for c in FIRST]
+    chosen = durable(close.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()))
     variants = _variants(chosen)
-    least = variants.groupBy("variant").agg(F.min(F.when(F.col("at") == 0, F.struct("first", H1, H2))).alias("whole"), F.min(F.when(F.col("at") > 0, F.struct("first", H1, H2))).alias("cut"))
-    swapped = variants.where("at > 0").groupBy("variant", "at", "n").agg(F.min(F.struct("first", H1, H2)).alias("other"))
-    by_swap = variants.where("at > 0").join(swapped, ["variant", "at", "n"])
-    by_length = variants.join(least, "variant").withColumn("other", F.when(F.col("at") == 0, F.col("cut")).otherwise(F.col("whole")))
-    pairs = by_swap.select(H1, H2, "first", "other").unionAll(by_length.select(H1, H2, "first", "other"))
-    pairs = pairs.where(F.col("other.first") < F.col("first")).select(H1, H2, F.col(f"other.{H1}").alias("o1"), F.col(f"other.{H2}").alias("o2")).distinct()
-    a, b = chosen.select(H1, H2, "words"), chosen.select(F.col(H1).alias("o1"), F.col(H2).alias("o2"), F.col("words").alias("others"))
-    return pairs.join(a, [H1, H2]).join(b, ["o1", "o2"]).where(_within_one(F.col("words"), F.col("others"))).select(H1, H2).distinct()
+    cut = variants.where("at > 0")
+    swapped = cut.groupBy("variant", "at", "n").agg(F.min("ord").alias("other"), F.max("ord").alias("last")).where("other < last").drop("last")
+    length = variants.groupBy("variant").agg(F.min(F.when(F.col("at") == 0, F.col("ord"))).alias("whole"), F.min(F.when(F.col("at") > 0, F.col("ord"))).alias("cut")).where("whole is not null and cut is not null")
+    by_swap = cut.join(swapped, ["variant", "at", "n"]).select("ord", "other")
+    by_length = variants.join(length, "variant").select("ord", F.when(F.col("at") == 0, F.col("cut")).otherwise(F.col("whole")).alias("other"))
+    pairs = by_swap.unionAll(by_length).where("other < ord").distinct()
+    a, b = chosen.select("ord", H1, H2, "words"), chosen.select(F.col("ord").alias("other"), F.col("words").alias("others"))
+    return pairs.join(a, "ord").join(b, "other").where(_within_one(F.col("words"), F.col("others"))).select(H1, H2).distinct()
 
 
 def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -99,13 +108,13 @@ def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     the lines that it would keep alone. A text all of whose lines go is empty. Empty table: empty result. Columns of df
     named lines or kept are replaced."""
     lines = _lines(df, text_col, id_col)
-    words = _words(F.col(LINE))
-    keyed = lines.select(H1, H2, F.struct(*FIRST).alias("first"), F.when(F.size(words) >= MIN_WORDS, _halves(words)).alias("halves"))
-    classes = durable(keyed.groupBy(H1, H2).agg(F.min("first").alias("first"), F.first("halves").alias("halves")))
-    near = near_lines(lines, classes).withColumn(GONE, F.lit(True))
-    judged = classes.select(H1, H2, "first").join(near, [H1, H2], "left")
-    later = lines.select(H1, H2, F.struct(*FIRST).alias("here")).join(judged, [H1, H2]).where(F.col(GONE) | (F.col("here") != F.col("first")))
-    gone = later.select("here.*").distinct().groupBy(NONE, ID, HASH).agg(F.collect_set(POS).alias(GONE))
+    worded = lines.withColumn("words", _words(F.col(LINE))).withColumn("n", F.size("words"))
+    slim = durable(worded.select(*FIRST, H1, H2, F.when(F.col("n") >= MIN_WORDS, _keys("words", "n", 2)).alias("halves")))
+    near = _small(near_lines(lines, slim))
+    here = slim.select(H1, H2, F.struct(*FIRST).alias("here"))
+    again = _small(here.groupBy(H1, H2).agg(F.min("here").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    later = here.join(near, [H1, H2], "left_semi").select("here").unionAll(here.join(again, [H1, H2]).where(F.col("here") != F.col("first")).select("here"))
+    gone = later.select("here.*").groupBy(NONE, ID, HASH).agg(F.collect_set(POS).alias(GONE))
     own = [c for c in df.columns if c not in ("lines", "kept")]
     keyed = df.select(*own, F.col(id_col).isNull().alias(NONE), F.col(id_col).alias(ID), F.xxhash64(text_or_empty(F.col(text_col))).alias(HASH))
     joined = keyed.join(gone, [keyed[NONE] == gone[NONE], keyed[ID].eqNullSafe(gone[ID]), keyed[HASH] == gone[HASH]], "left").select(*(keyed[c] for c in own), gone[GONE])
