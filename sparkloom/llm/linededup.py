@@ -20,10 +20,6 @@ NONE, ID, HASH, POS, LINE, H1, H2, GONE = (tmp(x) for x in ("none", "id", "hash"
 FIRST = (NONE, ID, HASH, POS)
 
 
-def _words(line: Column) -> Column:
-    return F.split(line, " ")
-
-
 def _lines(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """A row for each line that isn't blank: its place, its normal form and two independent hashes of that."""
     text = text_or_empty(F.col(text_col))
@@ -34,7 +30,16 @@ def _lines(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return norm.withColumns({H1: F.xxhash64(LINE), H2: F.xxhash64(F.lit(7), F.col(LINE))})
 
 
-def _keys(words: str, n: str, segments: int) -> Column:
+def _count(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _part(line: str, n: Column) -> Column:
+    """The first n words, or the last -n."""
+    return F.call_function("substring_index", F.col(line), F.lit(" "), n)
+
+
+def _keys(line: str, n: str, segments: int) -> Column:
     """Hashes of the line without each of its segments, of which two lines that match have one in common: an edit leaves
     all segments but one as they are.
 
@@ -44,9 +49,7 @@ def _keys(words: str, n: str, segments: int) -> Column:
     for length in (F.col(n), F.col(n) - 1):
         bound = [F.floor(length * j / segments).cast("int") for j in range(segments + 1)]
         for j in range(segments):
-            right = length - bound[j + 1]
-            tail = F.when(right > 0, F.slice(words, -F.greatest(right, F.lit(1)), right))
-            out.append(F.xxhash64(length, F.lit(j), F.slice(words, F.lit(1), bound[j]), tail))
+            out.append(F.xxhash64(length, F.lit(j), _part(line, bound[j]), _part(line, bound[j + 1] - length)))
     return F.array(*out)
 
 
@@ -63,9 +66,11 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _variants(lines: DataFrame) -> DataFrame:
     """at 0: the whole line; at i: the line without its i-th word; hashed."""
-    without = F.concat(F.slice("words", F.lit(1), F.greatest(F.col("at") - 1, F.lit(0))), F.slice("words", F.col("at") + 1, F.col("n")))
-    cut = lines.select("ord", "n", "words", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("at"))
-    return cut.select("ord", "n", "at", F.xxhash64(F.when(F.col("at") == 0, F.col("words")).otherwise(without)).alias("variant"))
+    cut = lines.select("ord", "n", LINE, F.explode(F.sequence(F.lit(0), F.col("n"))).alias("at"))
+    at, n = F.col("at"), F.col("n")
+    without = (F.when(at == 0, F.col(LINE)).when(at == 1, _part(LINE, 1 - n)).when(at == n, _part(LINE, n - 1))
+               .otherwise(F.concat(_part(LINE, at - 1), F.lit(" "), _part(LINE, at - n))))
+    return cut.select("ord", "n", "at", F.xxhash64(without).alias("variant"))
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -85,8 +90,8 @@ def near_lines(lines: DataFrame, slim: DataFrame) -> DataFrame:
     halves = slim.where(F.col("halves").isNotNull()).select(H1, H2, F.explode("halves").alias("key"))
     some = _small(halves.join(_small(_shared(halves)), "key", "left_semi").select(H1, H2).distinct())
     found = lines.join(some, [H1, H2], "left_semi").groupBy(H1, H2).agg(F.min(F.struct(*FIRST)).alias("first"), F.first(LINE).alias(LINE))
-    whole = durable(found.withColumn("words", _words(F.col(LINE))).withColumn("n", F.size("words")).drop(LINE))
-    parts = whole.select(H1, H2, F.explode(_keys("words", "n", SEGMENTS)).alias("key"))
+    whole = durable(found.withColumn("n", _count(F.col(LINE))))
+    parts = whole.select(H1, H2, F.explode(_keys(LINE, "n", SEGMENTS)).alias("key"))
     close = whole.join(_small(parts.join(_shared(parts), "key", "left_semi").select(H1, H2).distinct()), [H1, H2], "left_semi")
     order = [F.col(f"first.{c}") for c in FIRST]
     chosen = durable(close.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()))
@@ -97,8 +102,9 @@ def near_lines(lines: DataFrame, slim: DataFrame) -> DataFrame:
     by_swap = cut.join(swapped, ["variant", "at", "n"]).select("ord", "other")
     by_length = variants.join(length, "variant").select("ord", F.when(F.col("at") == 0, F.col("cut")).otherwise(F.col("whole")).alias("other"))
     pairs = by_swap.unionAll(by_length).where("other < ord").distinct()
-    a, b = chosen.select("ord", H1, H2, "words"), chosen.select(F.col("ord").alias("other"), F.col("words").alias("others"))
-    return pairs.join(a, "ord").join(b, "other").where(_within_one(F.col("words"), F.col("others"))).select(H1, H2).distinct()
+    a, b = chosen.select("ord", H1, H2, LINE), chosen.select(F.col("ord").alias("other"), F.col(LINE).alias("others"))
+    both = pairs.join(a, "ord").join(b, "other").select(H1, H2, F.split(LINE, " ").alias("words"), F.split("others", " ").alias("others"))
+    return both.where(_within_one(F.col("words"), F.col("others"))).select(H1, H2).distinct()
 
 
 def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -108,8 +114,8 @@ def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     the lines that it would keep alone. A text all of whose lines go is empty. Empty table: empty result. Columns of df
     named lines or kept are replaced."""
     lines = _lines(df, text_col, id_col)
-    worded = lines.withColumn("words", _words(F.col(LINE))).withColumn("n", F.size("words"))
-    slim = durable(worded.select(*FIRST, H1, H2, F.when(F.col("n") >= MIN_WORDS, _keys("words", "n", 2)).alias("halves")))
+    counted = lines.withColumn("n", _count(F.col(LINE)))
+    slim = durable(counted.select(*FIRST, H1, H2, F.when(F.col("n") >= MIN_WORDS, _keys(LINE, "n", 2)).alias("halves")))
     near = _small(near_lines(lines, slim))
     here = slim.select(H1, H2, F.struct(*FIRST).alias("here"))
     again = _small(here.groupBy(H1, H2).agg(F.min("here").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
