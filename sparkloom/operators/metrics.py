@@ -163,7 +163,7 @@ def choice_baselines(examples: DataFrame, target: str = "target_option", key: st
 
 def paired(baseline: DataFrame, candidate: DataFrame, success: str = "target_selected", key: str = "example_id") -> DataFrame:
     """Exact McNemar over rows of the same key: matched, discordant either way, p. Keys without a partner raise."""
-    side = lambda df, name: df.select(F.col(key).cast("string").alias("k"), _true(F.col(success)).alias(name), F.lit(True).alias(f"in_{name}"))
+    side = lambda df, name: df.select(F.col(key).cast("string").alias("k"), _true(_has(df, success, "boolean")).alias(name), F.lit(True).alias(f"in_{name}"))
     j = side(baseline, "x").join(side(candidate, "y"), "k", "full_outer")
     n = j.agg(F.count_if(F.col("in_x").isNull() | F.col("in_y").isNull()).alias("alone"), F.count("*").alias("matched_examples"),
               F.count_if(F.col("x") & ~F.col("y")).alias("baseline_only_correct"), F.count_if(F.col("y") & ~F.col("x")).alias("candidate_only_correct"))
@@ -227,7 +227,8 @@ def bootstrap(records: DataFrame, success: str = "target_selected", cluster: str
         p /= k + 1
     weight = sum((u >= b).cast("int") for b in bounds)
     rates = c.select("s", weight.alias("w"), "k", "n").groupBy("s").agg(F.try_divide(F.sum(F.col("w") * F.col("k")).cast("double"), F.sum(F.col("w") * F.col("n"))).alias("r"))
-    return rates.agg(F.array_sort(F.collect_list("r")).alias("r")).select(F.element_at("r", F.lit(int(0.025 * (samples - 1)) + 1)).alias("low"), F.element_at("r", F.lit(int(0.975 * (samples - 1)) + 1)).alias("high"))
+    at = lambda share: F.try_element_at("r", F.floor(share * (F.size("r") - 1)).cast("int") + 1)  # noqa: E731  samples of no rows at all have no rate
+    return rates.agg(F.array_sort(F.collect_list("r")).alias("r")).select(at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def stop_early(evaluations: DataFrame, group: str, order: str, reward: str, patience: int = 3, delta: float = 0.001) -> DataFrame:
