@@ -95,7 +95,7 @@ def near_lines(lines: DataFrame, slim: DataFrame) -> DataFrame:
     close = whole.join(_small(parts.join(_shared(parts), "key", "left_semi").select(H1, H2).distinct()), [H1, H2], "left_semi")
     order = [F.col(f"first.{c}") for c in FIRST]
     chosen = durable(close.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()))
-    variants = _variants(chosen)
+    variants = durable(_variants(chosen))  # read four times
     cut = variants.where("at > 0")
     swapped = cut.groupBy("variant", "at", "n").agg(F.min("ord").alias("other"), F.max("ord").alias("last")).where("other < last").drop("last")
     length = variants.groupBy("variant").agg(F.min(F.when(F.col("at") == 0, F.col("ord"))).alias("whole"), F.min(F.when(F.col("at") > 0, F.col("ord"))).alias("cut")).where("whole is not null and cut is not null")
