@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import WORD, durable, text_or_empty, tmp
 
-SRC, NOSRC, SIZE, SEED, LANE, OFFSET, RANK = (tmp(x) for x in ("src", "nosrc", "size", "seed", "lane", "offset", "rank"))
+SRC, NOSRC, SIZE, SEED, LANE, LANES, OFFSET, RANK = (tmp(x) for x in ("src", "nosrc", "size", "seed", "lane", "lanes", "offset", "rank"))
+HOT_ROWS = 1_000_000  # of a key and a number: some 50 MB
 MOST = 3  # copies of a document, and its source's words, at most
 
 
@@ -127,13 +128,14 @@ def mix(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_co
         [(r[0], r[1], r[2], t) for r, t in zip(sums, targets, strict=True)], f"{SRC} string, {NOSRC} boolean, source_size long, target double")
     plan = durable(hist.join(by_source, [SRC, NOSRC]).groupBy(SRC, NOSRC).applyInPandas(
         _fit, f"{SRC} string, {NOSRC} boolean, {SIZE} long, n long, source_size long, target double, copies int, more long"))
-    lanes = max(1, -(-(hist.agg(F.max("n")).first()[0] or 0) // lane_rows))
-    lane = F.pmod(F.xxhash64(SEED), F.lit(lanes))
     key = [SRC, NOSRC, SIZE]
+    hot = hist.where(F.col("n") > lane_rows).select(*key, F.ceil(F.col("n") / lane_rows).alias(LANES))  # a row for each lane_rows rows at most
+    hot = F.broadcast(hot) if hot.count() <= HOT_ROWS else hot
+    laned = lambda df: df.join(hot, key, "left").withColumn(LANE, F.pmod(F.xxhash64(SEED), F.coalesce(LANES, F.lit(1)))).drop(LANES)
     before = Window.partitionBy(*key).orderBy(LANE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slim.groupBy(*key, lane.alias(LANE)).agg(F.count("*").alias("n")).select(
+    offsets = laned(slim).groupBy(*key, LANE).agg(F.count("*").alias("n")).select(
         *key, LANE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(OFFSET))
-    ranked = sized.withColumn(LANE, lane).withColumn(RANK, F.row_number().over(Window.partitionBy(*key, LANE).orderBy(SEED)))
+    ranked = laned(sized).withColumn(RANK, F.row_number().over(Window.partitionBy(*key, LANE).orderBy(SEED)))
     joined = ranked.join(offsets.join(plan, key), [*key, LANE])
     # further copies go round the documents of a length in the order of their ranks
     copies = F.col("copies") + F.expr("cast(more div n as int)") + (F.col(RANK) + F.col(OFFSET) <= F.col("more") % F.col("n")).cast("int")
