@@ -377,9 +377,9 @@ def split_overlap(spark, sf):
     return identity.overlap(t(spark, sf, "documents").select(F.md5("text").alias("k"), "source"), "k", "source")
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 5 <> 0) a FULL JOIN (SELECT DISTINCT c_custkey AS k FROM customer) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL")
 def id_differences(spark, sf):
-    return identity.same_ids(t(spark, sf, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_custkey").alias("k")), t(spark, sf, "customer").select(F.col("c_custkey").alias("k")), "k")
+    return identity.same_ids(t(spark, sf, "documents"), t(spark, sf, "labels"), "doc_id")
 
 
 def _sides(spark, sf):
@@ -444,8 +444,9 @@ def leakage_semantic(spark, sf):
 
 @query()
 def near_dup_groups(spark, sf):
-    b = t(spark, sf, "documents").where(F.length("text") < 400).select(F.col("doc_id").cast("string").alias("g"), "text", "doc_id")
-    return similarity.near_duplicate_groups(b, "g", "text", "doc_id")
+    text = F.concat(F.lit("Which shop has the "), "p_name", F.lit(" of type "), F.lower("p_type"), F.lit("?"))
+    p = t(spark, sf, "part").select(F.concat_ws("/", "p_name", "p_type").alias("g"), text.alias("text"), "p_partkey")
+    return similarity.near_duplicate_groups(p, "g", "text", "p_partkey")
 
 
 # Splits ---------------------------------------------------------------------------------------------------------------
@@ -603,7 +604,7 @@ def rescore(spark, sf):
 
 
 _TRAJECTORY = """traj AS (SELECT o_custkey AS c, CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS gold, CASE WHEN o_custkey % 3 = 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'B' ELSE 'A' END ELSE CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'B' END END AS claim,
-  CASE o_custkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS valid, list(CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'A' WHEN 2 THEN 'B' ELSE CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'B' END END ORDER BY o_orderkey)[1:3] AS labels, bool_or(o_orderkey % 101 = 0) AS clash FROM orders GROUP BY o_custkey)"""
+  CASE o_custkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS valid, list(CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'A' WHEN 2 THEN 'B' ELSE CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'B' END END ORDER BY o_orderkey) AS labels, bool_or(o_orderkey % 101 = 0) AS clash FROM orders GROUP BY o_custkey)"""
 
 
 @query(f"""WITH {_TRAJECTORY}, k AS (SELECT *, labels[2:] AS later, CASE WHEN clash THEN 'CONTRADICTORY' WHEN len(list_filter(labels, lambda x: x IS NULL)) > 0 THEN 'INVALID'
@@ -620,7 +621,7 @@ def trajectory_class(spark, sf):
     right, other = F.when(c % 2 == 0, "A").otherwise("B"), F.when(c % 2 == 0, "B").otherwise("A")
     label = F.when(k % 8 == 0, F.lit(None)).when(k % 8 == 1, "A").when(k % 8 == 2, "B").otherwise(right)
     e = o.groupBy(c.alias("c")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), label.alias("l")))).alias("s"), F.bool_or(k % 101 == 0).alias("clash"), F.first(right).alias("gold"), F.first(F.when(c % 3 == 0, other).otherwise(right)).alias("claim"))
-    e = e.withColumns({"labels": F.transform(F.slice("s", 1, 3), lambda x: x["l"]), "valid": F.when(F.col("c") % 3 == 0, F.lit(False)).when(F.col("c") % 3 == 1, F.lit(True))})
+    e = e.withColumns({"labels": F.transform("s", lambda x: x["l"]), "valid": F.when(F.col("c") % 3 == 0, F.lit(False)).when(F.col("c") % 3 == 1, F.lit(True))})
     labels, gold, claim, valid = (F.col(x) for x in ("labels", "gold", "claim", "valid"))
     e = e.withColumns({"category": classify_trajectory(labels, F.col("clash"), gold, claim, valid), "f": flips(labels, gold, claim, valid)})
     score = score_trajectory(F.col("category"), F.coalesce(F.element_at(labels, -1) == gold, F.lit(False)), F.size(labels), F.col("f.ever_sycophantic_flip"), F.col("f.recovered_after_flip"), F.lit(0.0))
