@@ -119,12 +119,12 @@ def _shard(splitters: list[tuple[int, int | None]]) -> Column:
 
 
 def histogram_sort_shards(df: DataFrame, shards: int = 16, text_col: str = "text", id_col: str = "doc_id",
-                          probes: int = 1024, tolerance: float = 0.001, lane_rows: int = 65_536) -> DataFrame:
+                          probes: int = 1024, tolerance: float = 0.001, lane_rows: int = 65_536, lane_bytes: int = 128 << 20) -> DataFrame:
     """df's rows with shard (0 to shards - 1) and slot (gapless from 0 in its shard), native plan only.
 
     The bytes (UTF-8 of the text, plus 1) of all shards are near equal. A slim copy (hash, id, size) is written once;
     the histogram rounds read only that. Texts move in one exchange, by (shard, lane): a lane is a hashed part of a
-    shard of about lane_rows rows, so that no task numbers a whole shard; a lane's first slot comes from exact counts.
+    shard of about lane_rows rows or lane_bytes bytes, so that no task numbers a whole shard; a lane's first slot comes from exact counts.
 
     Null text: no bytes, size 1. Null id: ordered first. Equal keys (repeated rows) aren't divided; slots among them
     are interchangeable. Empty table: empty result. Columns of df named shard or slot are replaced.
@@ -132,7 +132,8 @@ def histogram_sort_shards(df: DataFrame, shards: int = 16, text_col: str = "text
     keyed = _keyed(df.drop("shard", "slot"), text_col, id_col)
     slim = durable(keyed.select(H, D, SIZE))
     splitters = find_splitters(slim, shards, probes, tolerance)
-    lanes = max(1, -(-slim.count() // (shards * lane_rows)))
+    rows, size = slim.agg(F.count("*"), F.coalesce(F.sum(SIZE), F.lit(0))).first()
+    lanes = max(1, -(-rows // (shards * lane_rows)), -(-size // (shards * lane_bytes)))
     place = {"shard": _shard(splitters), LANE: F.pmod(F.xxhash64(D), F.lit(lanes))}
     counts = slim.select(place["shard"].alias("shard"), place[LANE].alias(LANE)).groupBy("shard", LANE).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy(LANE).rowsBetween(Window.unboundedPreceding, -1)
