@@ -60,7 +60,8 @@ def near_pairs(dev: DataFrame, bench: DataFrame, exact: DataFrame, id_col: str,
     exact. A development text needs two distinct tokens; ids are meant to be unique on either side."""
     _threshold("lexical_threshold", lexical_threshold)
     _threshold("ngram_threshold", ngram_threshold)
-    a, b = _sets(dev, id_col, text).where(F.size("token") >= 2), _sets(bench, id_col, text)
+    # the sets are read eight times; persisted, texts are cut into tokens once
+    a, b = _sets(dev, id_col, text).persist().where(F.size("token") >= 2), _sets(bench, id_col, text).persist()
     pairs = _candidates(a, b, "token", lexical_threshold)
     if lexical_threshold > 0:
         more = _candidates(a, b, "bigram", ngram_threshold) if ngram_threshold > 0 else _candidates(a, b, "token", 0.0)
