@@ -1,9 +1,10 @@
 """Perplexity by Brown's class-based bigrams.
 
 P(word | previous) = P(class | previous class) x P(word | class). Exchange clustering assigns the most frequent words, and
-bands of the less frequent ones, to classes so that the class bigrams' likelihood is greatest; an end of text is a class
-of its own, and so are the rare words. Transitions are smoothed by the classes' own frequency; the rare class gives a
-part of each word's count to the unknown word, which counts as one.
+bands of the less frequent ones, to classes so that the class bigrams' likelihood is greatest. Then every other word that
+the tasks hold goes to the class that its own neighbours' classes make likeliest: their counts are dealt by word, and the
+round counts only if the likelihood rises. An end of text is a class of its own, and so are the rare words. Transitions are
+smoothed by the classes' own frequency. The unknown word is a rare word of DISCOUNT for each word seen once, at any size.
 
 The words that the tasks hold (head) are those above a count that is chosen so that they are at most a bound; all rarer
 ones (tail) go through a join, so that every word has its exact count however large the vocabulary grows.
@@ -44,7 +45,7 @@ class Model:
     end_class: int
     rare_class: int
     rare_tokens: int
-    rare_words: int
+    unseen: float  # the unknown word's count in the rare class
     tokens: int
     words: int
     ends: int
@@ -53,14 +54,32 @@ class Model:
     @property
     def unknown(self) -> float:
         """log10 P(unknown | rare class)."""
-        return math.log10(DISCOUNT * self.rare_words / self.rare_tokens) if self.rare_tokens else 0.0
+        return math.log10(self.unseen / (self.rare_tokens + self.unseen))
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def _likelihood(n: np.ndarray) -> float:
+    """Of class bigrams, but for a constant of the corpus."""
+    return float(_xlogx(n).sum() - _xlogx(n.sum(0)).sum() - _xlogx(n.sum(1)).sum())
+
+
+def _gains(n: np.ndarray, r: np.ndarray, l: np.ndarray, own: float) -> np.ndarray:  # noqa: E741
+    """By class, how the likelihood changes if a word that n lacks comes to it; r, l: its followers' and precursors' classes."""
+    outs, ins = n.sum(1) + l, n.sum(0) + r  # the word's precursors and followers stay where they are
+    rows = _xlogx(n + r) - _xlogx(n)  # [b, j]: its followers come to row b
+    cols = _xlogx(n + l[:, None]) - _xlogx(n)  # [i, b]: its precursors to column b
+    both = np.diagonal(n)
+    gain = rows.sum(1) - np.diagonal(rows) + cols.sum(0) - np.diagonal(cols) + _xlogx(both + np.diagonal(np.add.outer(r, l)) + own) - _xlogx(both)
+    return gain - _xlogx(outs + r.sum() + own) + _xlogx(outs) - _xlogx(ins + l.sum() + own) + _xlogx(ins)
 
 
 def exchange(pairs: np.ndarray, start: np.ndarray, fixed: np.ndarray, classes: int, rounds: int = 5) -> np.ndarray:
     """Classes of symbols: each in turn moves to the class that raises the class bigrams' likelihood most.
 
     pairs[a, b]: how often b follows a; fixed symbols stay. Sums are of whole numbers and ties go to the lower class."""
-    xlogx = lambda x: x * np.log(np.maximum(x, 1.0))
     of = start.copy()
     onehot = np.zeros((len(of), classes))
     onehot[np.arange(len(of)), of] = 1
@@ -79,12 +98,7 @@ def exchange(pairs: np.ndarray, start: np.ndarray, fixed: np.ndarray, classes: i
             n[a, a] += own
             r[a] -= own
             l[a] -= own
-            outs, ins = n.sum(1) + l, n.sum(0) + r  # s's precursors and followers stay where they are
-            rows = xlogx(n + r) - xlogx(n)  # [b, j]: s's followers come to row b
-            cols = xlogx(n + l[:, None]) - xlogx(n)  # [i, b]: its precursors to column b
-            both = np.diagonal(n)
-            gain = rows.sum(1) - np.diagonal(rows) + cols.sum(0) - np.diagonal(cols) + xlogx(both + np.diagonal(np.add.outer(r, l)) + own) - xlogx(both)
-            gain = gain - xlogx(outs + r.sum() + own) + xlogx(outs) - xlogx(ins + l.sum() + own) + xlogx(ins)
+            gain = _gains(n, r, l, own)
             gain[closed] = -np.inf
             b = a if gain[a] >= gain.max() - 1e-9 else int(np.argmax(gain))
             n[b] += r
@@ -148,6 +162,73 @@ def _bigrams(texts: DataFrame, symbol: dict[bytes, int], to_cluster: np.ndarray,
     return out.reshape(symbols, symbols)
 
 
+def _placed(texts: DataFrame, symbol: dict[bytes, int], of_word: np.ndarray, first: int, follow: np.ndarray, fixed: int) -> np.ndarray:
+    """of_word with each word from the first on in the class of the greatest gain, all others staying; ties stay or go to
+    the lower class. Classes from fixed on take no words. A word's neighbours are counted in the tasks and dealt by word."""
+    classes = len(follow)
+    rare, end = fixed, fixed + 1
+    slots = 2 * classes + 1  # followers by class, precursors by class, the word itself
+    held = texts.sparkSession.sparkContext.broadcast((symbol, np.append(of_word, rare).astype(np.int64), follow))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, of = held.value[0].get, held.value[1]
+        keys, ns, parts, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            fresh, n = np.unique(np.concatenate(parts), return_counts=True)
+            both, at = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([ns, n]), len(both)).astype(np.int64)
+
+        send = lambda: pa.RecordBatch.from_arrays([pa.array((keys // slots).astype(np.int32)), pa.array((keys % slots).astype(np.int16)), pa.array(ns)], names=["word", "slot", "n"])
+        for batch in rows_of(batches):
+            for text in batch.column(0).to_pylist():
+                w = words_of(text)
+                s = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
+                c = np.full(len(w) + 2, end, np.int64)
+                c[1:-1] = of[s]
+                same = s[1:] == s[:-1]
+                after, before = c[2:].copy(), c[:-2] + classes
+                after[:-1][same] = 2 * classes
+                asked = s >= first
+                parts.append(s[asked] * slots + after[asked])
+                asked[1:] &= ~same  # a pair of the word with itself counts once
+                parts.append(s[asked] * slots + before[asked])
+                size += len(w)
+            if size > 1 << 20:
+                keys, ns = summed()
+                parts, size = [], 0
+                if len(keys) > FLUSH * 5:
+                    yield send()
+                    keys, ns = np.empty(0, np.int64), np.empty(0, np.int64)
+        if parts:
+            keys, ns = summed()
+        yield send()
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, of, base = held.value
+        for batch in rows_of(batches):
+            out = []
+            for word, near in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                v = np.zeros(slots)
+                for x in near:
+                    v[x["slot"]] += x["n"]
+                a, r, l, own = int(of[word]), v[:classes], v[classes:-1], v[-1]  # noqa: E741
+                n = base.copy()
+                n[a] -= r
+                n[:, a] -= l
+                n[a, a] -= own
+                gain = _gains(n, r, l, own)
+                gain[fixed:] = -np.inf
+                out.append(a if gain[a] >= gain.max() - 1e-9 else int(np.argmax(gain)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["word", "class"])
+
+    near = texts.mapInArrow(counted, "word int, slot short, n long").repartition("word").groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("near"))
+    got = near.mapInArrow(chosen, "word int, class int").toArrow()
+    out = of_word.copy()
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
+
+
 def fit(texts: DataFrame, counts: DataFrame, head: int = HEAD, single: int = SINGLE, classes: int = CLASSES) -> Model:
     """A model of texts (one binary column, no nulls) whose words' counts are in counts (word, n)."""
     ends = texts.count()
@@ -176,12 +257,20 @@ def fit(texts: DataFrame, counts: DataFrame, head: int = HEAD, single: int = SIN
     onehot = np.zeros((symbols, classes + 2))
     onehot[np.arange(symbols), of] = 1
     follow = onehot.T @ pairs @ onehot
+    of_word = of[to_cluster] if len(n) else np.empty(0, np.int64)
+    if single < len(n):
+        moved = _placed(texts, symbol, of_word, single, follow, classes)
+        after = _bigrams(texts, symbol, moved, classes + 2, classes, classes + 1)
+        if _likelihood(after) > _likelihood(follow):
+            of_word, follow = moved, after
+    rare_tokens, unseen = int(tokens - n.sum()), DISCOUNT * max(1, sum(c for x, c in levels if x == 1))
+    before = follow.sum(1)
+    follow[:, classes] += unseen * before / max(1.0, before.sum())
     own = (follow.sum(0) + 0.5) / (follow.sum() + 0.5 * (classes + 2))
     transition = np.log10((follow + PRIOR * own) / (follow.sum(1, keepdims=True) + PRIOR))
-    of_word = of[to_cluster] if len(n) else np.empty(0, np.int64)
     sizes = np.bincount(of_word, n, classes + 2)
     emission = np.log10(n / sizes[of_word]) if len(n) else np.empty(0)
-    return Model(symbol, n, of_word, transition, emission, classes + 1, classes, int(tokens - n.sum()), words - len(n),
+    return Model(symbol, n, of_word, transition, emission, classes + 1, classes, rare_tokens, unseen,
                  tokens + ends, words + (ends > 0), ends, {"least": least, "classes": of})
 
 
@@ -223,7 +312,7 @@ def score_texts(df: DataFrame, model: Model, counts: DataFrame, text_col: str =
                     .mapInArrow(scored, f"{fields}n_tokens long, head_known long, head_base double, head_score double, tail array<struct<word:binary,n:int>>")
                     .withColumn(rid, F.monotonically_increasing_id()))
     n, c = F.col("t.n"), F.coalesce(F.col("c"), F.lit(0))
-    emitted = F.when(c > 0, F.log10((c - DISCOUNT) / F.lit(float(max(1, model.rare_tokens))))).otherwise(F.lit(model.unknown))
+    emitted = F.when(c > 0, F.log10(c / F.lit(model.rare_tokens + model.unseen))).otherwise(F.lit(model.unknown))
     tails = (heads.select(rid, F.explode("tail").alias("t"))
              .join(counts.where(F.col("n") < model.info["least"]).select(F.col("word").alias("w"), F.col("n").alias("c")), F.col("t.word") == F.col("w"), "left")
              .groupBy(rid).agg(F.sum(F.when(c > 0, n).otherwise(0)).alias("known"), F.sum(n * F.log10(c + 1)).alias("base"), F.sum(n * emitted).alias("emitted")))

@@ -356,6 +356,28 @@ def test_class_model_is_a_distribution_and_beats_unigrams(spark):
     assert got.score.sum() > got.base_score.sum() + 0.2 * got.n_tokens.sum()
 
 
+def test_words_beyond_the_single_ones_get_classes_by_context(spark):
+    rng = random.Random(11)
+    nouns, verbs = [f"n{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    texts = [(" ".join(w for _ in range(20) for w in (rng.choice(nouns), rng.choice(verbs))),) for _ in range(300)]
+    words = spark.createDataFrame(texts, "text string").select(brown.F.col("text").cast("binary").alias("text")).repartition(3)
+    counts = brown.count_words(words).cache()
+    model = brown.fit(words, counts, single=30, classes=4)
+    of = {w: model.of_symbol[i] for w, i in model.symbol.items()}
+    assert not {of[n.encode()] for n in nouns} & {of[v.encode()] for v in verbs}
+    assert np.allclose((10 ** model.transition).sum(1), 1)
+
+
+def test_the_unknown_word_has_one_mass_whatever_the_head(spark):
+    texts = [(f"a b c a b c a b once{i}",) for i in range(50)]
+    words = spark.createDataFrame(texts, "text string").select(brown.F.col("text").cast("binary").alias("text"))
+    counts = brown.count_words(words).cache()
+    for head in (200_000, 2, 0):
+        model = brown.fit(words, counts, head=head)
+        assert model.transition[model.end_class, model.rare_class] + model.unknown < -1
+        assert model.unseen == 25
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(1)
     pairs = rng.integers(0, 5, (20, 20)).astype(float)
