@@ -70,8 +70,11 @@ class Index:
         rest = self.cut(x - self.centres[cells])
         return cells, np.stack([_nearest(r, b) for r, b in zip(rest, self.books, strict=True)], axis=1).astype(np.uint8)
 
-    def probed(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, :self.probes].astype(np.int32)
+    def probed(self, q: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """Cells by query, the nearest first: as many as were calibrated, and more until they hold least rows, if all do."""
+        order = np.argsort(-(q @ self.centres.T), axis=1, kind="stable").astype(np.int32)
+        enough = 1 + (np.cumsum(sizes[order], axis=1) < least).sum(1)
+        return [cells[:max(self.probes, n)] for cells, n in zip(order, enough.tolist(), strict=True)]
 
 
 def fit_index(x: np.ndarray, rows: int, k: int, seed: int = 5) -> Index:
@@ -123,8 +126,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def search_shard(index: Index, ids: np.ndarray, x: np.ndarray, cells: np.ndarray, codes: np.ndarray,
-                 qids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, neighbours' ids, inner products) of each query among the shard's rows in probed cells, best k.
+                 qids: np.ndarray, q: np.ndarray, k: int, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, neighbours' ids, inner products) of each query among the shard's rows in probed cells, best k. sizes: of
+    all cells, by ids.
 
     Candidates are the k x DEPTH rows of the largest estimates, ties to smaller ids; products are summed the same way
     for every row, so that equal vectors get equal scores."""
@@ -132,7 +136,7 @@ def search_shard(index: Index, ids: np.ndarray, x: np.ndarray, cells: np.ndarray
     ids, x, cells, flat = ids[order], x[order], cells[order], codes[order].astype(np.int32) + np.arange(index.parts, dtype=np.int32) * CODES
     present, starts = np.unique(cells, return_index=True)
     ends = np.append(starts[1:], len(cells))
-    probed = index.probed(q)
+    probed = index.probed(q, sizes, k + 1)
     base = q @ index.centres.T
     for block in range(0, len(q), 256):
         part = q[block:block + 256]
@@ -197,16 +201,17 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
 
     table = durable(rows.mapInArrow(indexed, "id long, v array<double>, asked boolean, cell int, code binary"))
     sizes = np.zeros(len(index.centres), np.int64)
-    for cell, n in table.groupBy("cell").count().collect():
-        sizes[cell] = n
-    shards = Shards.pack(sizes, SHARD_ROWS)
+    rows_in = np.zeros(len(index.centres), np.int64)  # a repeated row is packed as often as it is there but counts once
+    for cell, n, ids in table.groupBy("cell").agg(F.count("*"), F.count_distinct("id")).collect():
+        rows_in[cell], sizes[cell] = n, ids
+    shards = Shards.pack(rows_in, SHARD_ROWS)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A query once for each shard that has rows of its probed cells."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            probed = index.probed(_matrix(batch.column(1)))
+            probed = index.probed(_matrix(batch.column(1)), sizes, k + 1)
             of, to = [], []
             for i, cells in enumerate(probed):
                 cells = cells[sizes[cells] > 0]
@@ -235,7 +240,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
             own = own.assign(same=[v.tobytes() for v in own["v"]]).drop_duplicates(["id", "same"])
             q = q.assign(same=[v.tobytes() for v in q["v"]]).sort_values(["id", "same"]).drop_duplicates("id")
             codes = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
-            for qid, ids, score in search_shard(index, own["id"].to_numpy(), np.stack(own["v"]), own["cell"].to_numpy(), codes, q["id"].to_numpy(), np.stack(q["v"]), k):
+            for qid, ids, score in search_shard(index, own["id"].to_numpy(), np.stack(own["v"]), own["cell"].to_numpy(), codes, q["id"].to_numpy(), np.stack(q["v"]), k, sizes):
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids, "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 

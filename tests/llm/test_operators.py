@@ -433,6 +433,17 @@ def test_nearest_of_few_rows(spark):
     assert ann.op8_nearest(df.limit(1)).count() == 0
 
 
+def test_nearest_widens_for_a_query_in_a_small_cell(spark):
+    x = np.concatenate([np.repeat(10 * np.eye(16)[:4], 800, axis=0), np.repeat(-10 * np.eye(16)[9:10], 12, axis=0)])
+    index = ann.fit_index(x, len(x), 20)
+    sizes = np.bincount(index.encode(x.astype(np.float32))[0], minlength=len(index.centres))
+    assert index.probes == 1 and 12 in sizes  # the cells to probe suffice for the sample, not for the twelve
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.op8_nearest(df).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and got.query_id.nunique() == 161
+    assert {*range(3201, 3212)} <= set(got[got.query_id == 3200].vec_id)
+
+
 def test_shards_of_cells_hold_bounded_rows():
     sizes = np.array([5, 0, 100, 7, 7, 3, 250])
     s = ann.Shards.pack(sizes, 20)
