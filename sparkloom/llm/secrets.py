@@ -1,7 +1,7 @@
 """Secret scans: three patterns, and a battery of randomness tests for tokens that no pattern knows.
 
-A candidate is a run of 20 or more of [A-Za-z0-9+/_-] with a digit and a letter, outside the patterns' spans. Its
-encoding is the smallest alphabet that holds it. Under the hypothesis that its symbols are uniform and independent
+A candidate is a run of 20 or more of [A-Za-z0-9+/_-] with a digit or a letter, outside the patterns' spans, and each piece
+of 20 or more between its / - _, as a key may stand in a path; run and pieces are tested and reported each. Its encoding is the smallest alphabet that holds it. Under the hypothesis that its symbols are uniform and independent
 three tests give p-values: chi-squared uniformity over the alphabet (in equal cells of 5 or more expected symbols), runs
 above and below the middle, and the serial correlation of neighbours; Fisher's method joins them. Benjamini-Hochberg,
 within each stratum of encoding and length class and over the whole corpus, says which candidates are proven not
@@ -27,10 +27,15 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as the runs of 24 and more among [0-9a-f]+
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+PIECE = re.compile(r"[A-Za-z0-9+]{20,}")
 KINDS = ("assign", "access", "hex", "random")
 ENCODINGS = {
+    "digits": "0123456789",
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "small": "abcdefghijklmnopqrstuvwxyz",
+    "capitals": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "lower": "0123456789abcdefghijklmnopqrstuvwxyz",
     "upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -122,14 +127,14 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Spans, strata and binned p-values of the tokens to test; those that touch a base span aren't tested."""
     out = []
     for m in CANDIDATE.finditer(text):
-        token, start, end = m.group(), m.start(), m.end()
-        if token.isalpha() or not any(ch.isdigit() for ch in token) or not any(ch.isalpha() for ch in token):
-            continue
-        if any(s < end and start < e for s, _, e in base) or (name := encoding(token)) is None:
-            continue
-        p = battery(token, name)
-        out.append({"start": start, "end": end, "stratum": f"{name}:{int(math.log2(len(token)))}",
-                    "bin": min(P_BINS, int(-50 * math.log10(max(p, 1e-300))))})
+        tokens = {m.span(), *((m.start() + x.start(), m.start() + x.end()) for x in PIECE.finditer(m.group()))}
+        for start, end in sorted(tokens):
+            token = text[start:end]
+            if not any(ch.isalnum() for ch in token) or any(s < end and start < e for s, _, e in base) or (name := encoding(token)) is None:
+                continue
+            p = battery(token, name)
+            out.append({"start": start, "end": end, "stratum": f"{name}:{int(math.log2(len(token)))}",
+                        "bin": min(P_BINS, int(-50 * math.log10(max(p, 1e-300))))})
     return out
 
 

@@ -182,6 +182,22 @@ def test_battery_tells_random_tokens_from_words(spark):
     assert got[0] == f"random:4:{4 + len(keys[0])}"
 
 
+def test_keys_of_letters_and_keys_in_paths_are_tested(spark):
+    rng = random.Random(6)
+    made = lambda name, n=32: "".join(rng.choices(secrets.ENCODINGS[name], k=n))
+    texts, spans = [], []
+    for name in ("small", "capitals", "letters"):
+        for _ in range(40):
+            texts.append(f"see {made(name)} here")
+            spans.append("random:4:36")
+    for _ in range(40):  # no alphabet has all of / - _
+        texts.append(f"see hooks/T0-x/user_name/{made('base62')} here")
+        spans.append("random:25:57")
+    got = {r["doc_id"]: r["spans"] for r in dicts(secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    hits = np.array([spans[i] in got[i].split(",") for i in range(160)]).reshape(4, 40).mean(1)
+    assert (hits > 0.85).all()
+
+
 def test_p_values_are_uniform_for_random_symbols():
     rng = random.Random(5)
     p = np.array([secrets.battery("".join(rng.choices(secrets.ENCODINGS["hex"], k=48)), "hex") for _ in range(1500)])
