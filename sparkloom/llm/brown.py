@@ -1,13 +1,17 @@
 """Perplexity by Brown's class-based bigrams.
 
-P(word | previous) = P(class | previous class) x P(word | class). Exchange clustering assigns the most frequent words, and
-bands of the less frequent ones, to classes so that the class bigrams' likelihood is greatest. Then every other word that
-the tasks hold goes to the class that its own neighbours' classes make likeliest: their counts are dealt by word, and the
-round counts only if the likelihood rises. An end of text is a class of its own, and so are the rare words. Transitions are
-smoothed by the classes' own frequency. The unknown word is a rare word of DISCOUNT for each word seen once, at any size.
-
-The words that the tasks hold (head) are those above a count that is chosen so that they are at most a bound; all rarer
-ones (tail) go through a join, so that every word has its exact count however large the vocabulary grows.
+P(word | previous) = P(class | previous class) x P(word | class). Exchange clustering assigns every word of the training
+texts to a class so that the class bigrams' likelihood is greatest: the most frequent words first, in turn, on the
+driver; then rounds over all words, in which the tasks count each word's neighbours by class, the counts are dealt by word
+and each word goes to the class of the greatest gain, if that is more than naming a class costs (the logarithm of their
+number), so that a word seen once doesn't learn its one context by heart. A round's moves hold if the likelihood rises, else half of them do,
+and so on; the rounds end when the rise per token is small. The number of classes grows with the vocabulary.
+
+The words that the tasks hold (head) are those above a count that is chosen so that they are at most a bound. All rarer
+words, and the words that no training text has, are grouped by their last bytes; a group moves as one symbol, by the
+contexts of its words. Their exact counts come by a join, however large the vocabulary grows. An end of text is a class of
+its own. Transitions are smoothed by the classes' own frequency. The unknown word has the class of its ending, and in a
+class a count of DISCOUNT for each word seen once whose ending is of that class, at any size.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,35 +31,49 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import crc32_mod, durable, rows_of, text_or_empty, tmp, words_of
 
 HEAD = 200_000  # words that each task may hold
-SINGLE = 1_000  # most frequent words that are clustered singly
-CLASSES = 64
+SINGLE = 1_000  # most frequent words, clustered on the driver before the rounds over all words
+LEAST_CLASSES, MOST_CLASSES = 16, 256
+ENDINGS = 4_096  # groups of the words beyond the head
+LAST = 3  # bytes of an ending
+ROUNDS = 4  # over all words, at most
+RISE = 0.003  # of the likelihood per token (natural log), below which the rounds end
 DISCOUNT = 0.5
 PRIOR = 2.0  # weight of a class's own frequency in its transitions
 FLUSH = 400_000  # distinct words that a counting task holds
+BINS = 8  # of counts, for each doubling
+
+
+def classes_for(words: int) -> int:
+    """About a quarter of the vocabulary's square root, a power of two."""
+    return int(min(MOST_CLASSES, max(LEAST_CLASSES, 2 ** round(math.log2(words + 1) / 2 - 2))))
 
 
 @dataclass
 class Model:
-    """Head words' symbols and counts; symbols' classes; class statistics; totals of the training tokens."""
+    """Symbols are head words and then endings: their classes and emissions; class statistics; totals of the training tokens."""
 
-    symbol: dict[bytes, int]  # place in counts
-    counts: np.ndarray
-    of_symbol: np.ndarray  # class of a head word
+    symbol: dict[bytes, int]  # place of a head word
+    counts: np.ndarray  # of head words
+    of_symbol: np.ndarray
     transition: np.ndarray  # log10 P(class | previous class)
-    emission: np.ndarray  # log10 P(word | class) of a head word
+    emission: np.ndarray  # log10 P(word | class) of a head word; of an ending what a count's log10 is added to
+    endings: int
+    unseen: np.ndarray  # by class: the unknown word's count
     end_class: int
-    rare_class: int
-    rare_tokens: int
-    unseen: float  # the unknown word's count in the rare class
     tokens: int
     words: int
     ends: int
     info: dict = field(default_factory=dict)
 
-    @property
-    def unknown(self) -> float:
-        """log10 P(unknown | rare class)."""
-        return math.log10(self.unseen / (self.rare_tokens + self.unseen))
+    def symbols(self, words: list[bytes]) -> np.ndarray:
+        return symbols_of(words, self.symbol, self.endings)
+
+
+def symbols_of(words: list[bytes], symbol: dict[bytes, int], endings: int) -> np.ndarray:
+    s = np.fromiter(map(symbol.get, words, repeat(-1)), np.int64, len(words))
+    rare = np.flatnonzero(s < 0)
+    s[rare] = [len(symbol) + crc32(words[i][-LAST:]) % endings for i in rare.tolist()]
+    return s
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -66,52 +85,63 @@ def _likelihood(n: np.ndarray) -> float:
     return float(_xlogx(n).sum() - _xlogx(n.sum(0)).sum() - _xlogx(n.sum(1)).sum())
 
 
-def _gains(n: np.ndarray, r: np.ndarray, l: np.ndarray, own: float) -> np.ndarray:  # noqa: E741
-    """By class, how the likelihood changes if a word that n lacks comes to it; r, l: its followers' and precursors' classes."""
-    outs, ins = n.sum(1) + l, n.sum(0) + r  # the word's precursors and followers stay where they are
-    rows = _xlogx(n + r) - _xlogx(n)  # [b, j]: its followers come to row b
-    cols = _xlogx(n + l[:, None]) - _xlogx(n)  # [i, b]: its precursors to column b
-    both = np.diagonal(n)
-    gain = rows.sum(1) - np.diagonal(rows) + cols.sum(0) - np.diagonal(cols) + _xlogx(both + np.diagonal(np.add.outer(r, l)) + own) - _xlogx(both)
+def _gains(n: np.ndarray, a: int, r: np.ndarray, l: np.ndarray, own: float) -> np.ndarray:  # noqa: E741
+    """By class, the likelihood if a word of class a were there, but for a constant; r, l: its followers' and precursors'
+    classes without its pairs with itself (own). Only the classes that it meets are looked at."""
+    outs, ins, both = n.sum(1), n.sum(0), np.diagonal(n).copy()
+    outs[a] -= r.sum() + own  # without the word; its precursors and followers stay where they are
+    ins[a] -= l.sum() + own
+    both[a] -= r[a] + l[a] + own
+    near = []
+    for m, x, y in ((n, r, l), (n.T, l, r)):
+        at = np.flatnonzero(x)
+        part = m[:, at].copy()
+        part[a] -= x[at]
+        part[:, at == a] -= y[:, None]
+        part[a, at == a] -= own
+        rise = _xlogx(part + x[at]) - _xlogx(part)
+        rise[at, np.arange(len(at))] = 0.0  # the diagonal is told below
+        near.append(rise.sum(1))
+    gain = near[0] + near[1] + _xlogx(both + r + l + own) - _xlogx(both)
     return gain - _xlogx(outs + r.sum() + own) + _xlogx(outs) - _xlogx(ins + l.sum() + own) + _xlogx(ins)
 
 
-def exchange(pairs: np.ndarray, start: np.ndarray, fixed: np.ndarray, classes: int, rounds: int = 5) -> np.ndarray:
+def _best(gain: np.ndarray, a: int, open_: int, cost: float = 1e-9) -> int:
+    """The class of the greatest gain among the first open_, if it is above a's by more than cost; ties go to the lower."""
+    gain = gain[:open_]
+    return a if gain[a] >= gain.max() - cost else int(np.argmax(gain))
+
+
+def exchange(pairs: np.ndarray, start: np.ndarray, open_: int, rounds: int = 20) -> np.ndarray:
     """Classes of symbols: each in turn moves to the class that raises the class bigrams' likelihood most.
 
-    pairs[a, b]: how often b follows a; fixed symbols stay. Sums are of whole numbers and ties go to the lower class."""
-    of = start.copy()
+    pairs[a, b]: how often b follows a. Symbols whose class is open_ or above stay, and none goes there. Sums are of whole
+    numbers. It ends when no symbol moves, or after that many rounds."""
+    of, classes = start.copy(), int(start.max(initial=open_ - 1)) + 1
     onehot = np.zeros((len(of), classes))
     onehot[np.arange(len(of)), of] = 1
     right, left = pairs @ onehot, pairs.T @ onehot  # by symbol: followers' and precursors' classes
     n = onehot.T @ right
     weight = pairs.sum(1) + pairs.sum(0)
-    order = [s for s in np.argsort(-weight, kind="stable") if not fixed[s] and weight[s]]
-    closed = np.zeros(classes, bool)
-    closed[of[fixed]] = True
+    order = [s for s in np.argsort(-weight, kind="stable") if of[s] < open_ and weight[s]]
     for _ in range(rounds):
         moved = 0
         for s in order:
             a, r, l, own = of[s], right[s].copy(), left[s].copy(), pairs[s, s]
-            n[a] -= r
-            n[:, a] -= l
-            n[a, a] += own
             r[a] -= own
             l[a] -= own
-            gain = _gains(n, r, l, own)
-            gain[closed] = -np.inf
-            b = a if gain[a] >= gain.max() - 1e-9 else int(np.argmax(gain))
-            n[b] += r
-            n[:, b] += l
-            n[b, b] += own
+            b = _best(_gains(n, a, r, l, own), a, open_)
             if b != a:
+                for at, sign in ((a, -1), (b, 1)):
+                    n[at] += sign * r
+                    n[:, at] += sign * l
+                    n[at, at] += sign * own
                 of[s] = b
                 moved += 1
                 right[:, a] -= pairs[:, s]
                 right[:, b] += pairs[:, s]
                 left[:, a] -= pairs[s]
                 left[:, b] += pairs[s]
-            # r and l held s's own pairs apart; the matrix above has them back
         if not moved:
             break
     return of
@@ -134,44 +164,55 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _bigrams(texts: DataFrame, symbol: dict[bytes, int], to_cluster: np.ndarray, symbols: int, rare: int, end: int) -> np.ndarray:
-    """How often each symbol follows each, over all texts; symbols are few (SINGLE and bands), so the square is bounded."""
-    held = texts.sparkSession.sparkContext.broadcast((symbol, np.append(to_cluster, rare).astype(np.int64)))
+def _encoded(texts: DataFrame, symbol: dict[bytes, int], endings: int) -> DataFrame:
+    """The texts as symbols, written once: an end, then each text's words and an end; some texts a row."""
+    held, end = texts.sparkSession.sparkContext.broadcast(symbol), len(symbol) + endings
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, cluster = held.value[0].get, held.value[1]
-        sums, parts, size = np.zeros(symbols * symbols, np.int64), [], 0
-        for batch in rows_of(batches):
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 64):
+            parts = [np.array([end])]
             for text in batch.column(0).to_pylist():
-                w = words_of(text)
-                s = np.full(len(w) + 2, end, np.int64)
-                s[1:-1] = cluster[np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))]
-                parts.append(s[:-1] * symbols + s[1:])
-                size += len(w)
-            if size > 1 << 20:
-                sums += np.bincount(np.concatenate(parts), minlength=len(sums))
-                parts, size = [], 0
+                parts += [symbols_of(words_of(text), held.value, endings), parts[0]]
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(parts).astype(np.int32).tobytes()], pa.binary())], names=["ids"])
+
+    return durable(texts.mapInArrow(encoded, "ids binary"))
+
+
+def _bigrams(ids: DataFrame, of: np.ndarray) -> np.ndarray:
+    """How often each class follows each, over all texts; of: the symbols' classes, the end last."""
+    classes = int(of.max()) + 1
+    held = ids.sparkSession.sparkContext.broadcast(of.astype(np.int32))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, parts, size = np.zeros(classes * classes, np.int64), [], 0
+        for batch in batches:
+            for raw in batch.column(0):
+                c = held.value[np.frombuffer(raw.as_buffer(), np.int32)]
+                parts.append(c[:-1] * np.int64(classes) + c[1:])
+                size += len(c)
+                if size > 1 << 20:
+                    sums += np.bincount(np.concatenate(parts), minlength=len(sums))
+                    parts, size = [], 0
         if parts:
             sums += np.bincount(np.concatenate(parts), minlength=len(sums))
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen])], names=["pair", "n"])
 
-    got = texts.mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(symbols * symbols)
+    got = ids.mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes * classes)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return out.reshape(symbols, symbols)
+    return out.reshape(classes, classes)
 
 
-def _placed(texts: DataFrame, symbol: dict[bytes, int], of_word: np.ndarray, first: int, follow: np.ndarray, fixed: int) -> np.ndarray:
-    """of_word with each word from the first on in the class of the greatest gain, all others staying; ties stay or go to
-    the lower class. Classes from fixed on take no words. A word's neighbours are counted in the tasks and dealt by word."""
-    classes = len(follow)
-    rare, end = fixed, fixed + 1
-    slots = 2 * classes + 1  # followers by class, precursors by class, the word itself
-    held = texts.sparkSession.sparkContext.broadcast((symbol, np.append(of_word, rare).astype(np.int64), follow))
+def _placed(ids: DataFrame, of: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """Each symbol's class of the greatest gain, all others staying, where it is worth the cost of naming a class. The end (the last symbol and class) takes no words. A
+    symbol's neighbours are counted in the tasks and dealt by symbol: at most twice the classes and one numbers for each."""
+    classes, end = len(follow), len(of) - 1
+    slots = 2 * classes + 1  # followers by class, precursors by class, the symbol itself
+    held = ids.sparkSession.sparkContext.broadcast((of.astype(np.int32), follow))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, of = held.value[0].get, held.value[1]
+        of_ = held.value[0]
         keys, ns, parts, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
 
         def summed() -> tuple[np.ndarray, np.ndarray]:
@@ -180,105 +221,131 @@ def _placed(texts: DataFrame, symbol: dict[bytes, int], of_word: np.ndarray, fir
             return both, np.bincount(at, np.concatenate([ns, n]), len(both)).astype(np.int64)
 
         send = lambda: pa.RecordBatch.from_arrays([pa.array((keys // slots).astype(np.int32)), pa.array((keys % slots).astype(np.int16)), pa.array(ns)], names=["word", "slot", "n"])
-        for batch in rows_of(batches):
-            for text in batch.column(0).to_pylist():
-                w = words_of(text)
-                s = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
-                c = np.full(len(w) + 2, end, np.int64)
-                c[1:-1] = of[s]
+        for batch in batches:
+            for raw in batch.column(0):
+                s = np.frombuffer(raw.as_buffer(), np.int32)
+                c, wide = of_[s], s.astype(np.int64) * slots
                 same = s[1:] == s[:-1]
-                after, before = c[2:].copy(), c[:-2] + classes
-                after[:-1][same] = 2 * classes
-                asked = s >= first
-                parts.append(s[asked] * slots + after[asked])
-                asked[1:] &= ~same  # a pair of the word with itself counts once
-                parts.append(s[asked] * slots + before[asked])
-                size += len(w)
-            if size > 1 << 20:
-                keys, ns = summed()
-                parts, size = [], 0
-                if len(keys) > FLUSH * 5:
-                    yield send()
-                    keys, ns = np.empty(0, np.int64), np.empty(0, np.int64)
+                after, before = np.where(same, 2 * classes, c[1:]), c[:-1] + classes
+                parts.append((wide[:-1] + after)[s[:-1] != end])
+                parts.append((wide[1:] + before)[~same & (s[1:] != end)])  # a pair of the symbol with itself counts once
+                size += len(s)
+                if size > 1 << 21:
+                    keys, ns = summed()
+                    parts, size = [], 0
+                    if len(keys) > FLUSH * 10:
+                        yield send()
+                        keys, ns = np.empty(0, np.int64), np.empty(0, np.int64)
         if parts:
             keys, ns = summed()
         yield send()
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, of, base = held.value
+        of_, n = held.value
         for batch in rows_of(batches):
+            near = batch.column(1)
+            starts, flat = near.offsets.to_numpy(), near.values
+            slot, count = flat.field(0).to_numpy(), flat.field(1).to_numpy()
             out = []
-            for word, near in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, word in enumerate(batch.column(0).to_pylist()):
                 v = np.zeros(slots)
-                for x in near:
-                    v[x["slot"]] += x["n"]
-                a, r, l, own = int(of[word]), v[:classes], v[classes:-1], v[-1]  # noqa: E741
-                n = base.copy()
-                n[a] -= r
-                n[:, a] -= l
-                n[a, a] -= own
-                gain = _gains(n, r, l, own)
-                gain[fixed:] = -np.inf
-                out.append(a if gain[a] >= gain.max() - 1e-9 else int(np.argmax(gain)))
+                v[slot[starts[i]:starts[i + 1]]] = count[starts[i]:starts[i + 1]]
+                a = int(of_[word])
+                out.append(_best(_gains(n, a, v[:classes], v[classes:-1], v[-1]), a, classes - 1, cost))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["word", "class"])
 
-    near = texts.mapInArrow(counted, "word int, slot short, n long").repartition("word").groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("near"))
+    cost = math.log(classes)
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes make much work here
+    near = ids.mapInArrow(counted, "word int, slot short, n long").repartition(parts, "word").groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("near"))
     got = near.mapInArrow(chosen, "word int, class int").toArrow()
-    out = of_word.copy()
+    out = of.copy()
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return out
 
 
-def fit(texts: DataFrame, counts: DataFrame, head: int = HEAD, single: int = SINGLE, classes: int = CLASSES) -> Model:
-    """A model of texts (one binary column, no nulls) whose words' counts are in counts (word, n)."""
-    ends = texts.count()
-    levels = sorted(((r[0], r[1]) for r in counts.groupBy("n").count().collect()), reverse=True)  # about the root of the tokens
-    words, tokens = sum(c for _, c in levels), sum(n * c for n, c in levels)
-    held, least = 0, 1
-    for n, c in levels:
+def _clustered(ids: DataFrame, of: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes after rounds over all symbols, their bigrams, and the likelihood per token of each round."""
+    follow = _bigrams(ids, of)
+    tokens, found = max(1.0, follow.sum()), [_likelihood(follow) / max(1.0, follow.sum())]
+    turn = np.random.default_rng(len(of)).random(len(of))
+    for _ in range(rounds):
+        better, share = _placed(ids, of, follow), 1.0
+        while share >= 0.1:
+            some = np.where(turn < share, better, of)
+            after = _bigrams(ids, some)
+            if (now := _likelihood(after) / tokens) > found[-1]:
+                break
+            share /= 2
+        else:
+            break
+        of, follow = some, after
+        found.append(now)
+        if found[-1] - found[-2] < RISE:
+            break
+        turn = (turn + 0.5) % 1.0
+    return of, follow, found
+
+
+def _sized(counts: DataFrame, head: int) -> tuple[int, int, int]:
+    """Words, their tokens, and the least count of head words: of the bins of counts the longest run from the top that
+    has at most head words. Bins are a BINS-th of a doubling, so each count below BINS is a bin of its own."""
+    bins = counts.groupBy(F.floor(F.log2("n") * BINS + 1e-9).alias("b")).agg(F.count("*").alias("c"), F.sum("n").alias("t"), F.min("n").alias("least"))
+    rows = sorted(((r.b, r.c, r.t, r.least) for r in bins.collect()), reverse=True)
+    held, least = 0, 2 ** (max((r[0] for r in rows), default=0) // BINS + 1) + 1  # above all counts
+    for _, c, _, low in rows:
         if held + c > head:
-            least = n + 1
             break
-        held += c
+        held, least = held + c, low
+    return sum(r[1] for r in rows), sum(r[2] for r in rows), least
+
+
+def fit(texts: DataFrame, counts: DataFrame, head: int = HEAD, single: int = SINGLE, classes: int | None = None,
+        endings: int = ENDINGS, rounds: int = ROUNDS) -> Model:
+    """A model of texts (one binary column, no nulls) whose words' counts are in counts (word, n)."""
+    ends = texts.count()
+    words, tokens, least = _sized(counts, head)
+    classes = classes or classes_for(words)
     got = counts.where(F.col("n") >= least).toArrow()
     listed = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
     n = np.array([x[0] for x in listed], np.int64)
     symbol = {w: i for i, (_, w) in enumerate(listed)}
-    band = np.log2(np.maximum(n, 1)).astype(np.int64)
-    to_cluster = np.where(np.arange(len(n)) < single, np.arange(len(n)), min(single, len(n)) + band)
-    rare = min(single, len(n)) + 64
-    end, symbols = rare + 1, rare + 2
-    pairs = _bigrams(texts, symbol, to_cluster, symbols, rare, end)
-    fixed = np.zeros(symbols, bool)
-    fixed[[rare, end]] = True
-    start = np.arange(symbols) % classes
-    start[rare], start[end] = classes, classes + 1
-    of = exchange(pairs, start, fixed, classes + 2)
-    onehot = np.zeros((symbols, classes + 2))
-    onehot[np.arange(symbols), of] = 1
-    follow = onehot.T @ pairs @ onehot
-    of_word = of[to_cluster] if len(n) else np.empty(0, np.int64)
-    if single < len(n):
-        moved = _placed(texts, symbol, of_word, single, follow, classes)
-        after = _bigrams(texts, symbol, moved, classes + 2, classes, classes + 1)
-        if _likelihood(after) > _likelihood(follow):
-            of_word, follow = moved, after
-    rare_tokens, unseen = int(tokens - n.sum()), DISCOUNT * max(1, sum(c for x, c in levels if x == 1))
+    once, tail = np.zeros(endings), np.zeros(endings)
+    ending = F.pmod(F.crc32(F.substring("word", -LAST, LAST)), F.lit(endings))
+    for r in counts.groupBy(ending.alias("e")).agg(F.count_if(F.col("n") == 1).alias("once"), F.sum(F.when(F.col("n") < least, F.col("n")).otherwise(0)).alias("tail")).collect():
+        once[r.e], tail[r.e] = r.once, r.tail
+    unseen = DISCOUNT * (once + 1 / endings)
+    ids = _encoded(texts, symbol, endings)
+    # the most frequent words singly, the others in bands by their count, endings in the lowest
+    band = np.concatenate([np.log2(np.maximum(n, 1)).astype(np.int64), np.zeros(endings, np.int64)])
+    place = np.arange(len(n) + endings)
+    coarse = np.append(np.where(place < min(single, len(n)), place, min(single, len(n)) + band), min(single, len(n)) + 64)
+    pairs = _bigrams(ids, coarse)
+    start = np.arange(len(pairs)) % classes
+    start[-1] = classes
+    of = exchange(pairs, start, classes)[coarse]
+    of, follow, rise = _clustered(ids, of, rounds if len(n) > single or tail.any() else 0)
+    # an ending that no training text has beyond the head goes where the rarest held words of it are
+    votes = np.zeros((endings, classes))
+    np.add.at(votes, (np.array([crc32(w[-LAST:]) % endings for _, w in listed], np.int64), of[:len(n)]), 1 / n)
+    of_ending = np.where(votes.any(1), votes.argmax(1), votes.sum(0).argmax())
+    of[len(n):-1] = np.where(tail > 0, of[len(n):-1], of_ending)
+    mass = np.bincount(of[len(n):-1], unseen, classes + 1)
     before = follow.sum(1)
-    follow[:, classes] += unseen * before / max(1.0, before.sum())
-    own = (follow.sum(0) + 0.5) / (follow.sum() + 0.5 * (classes + 2))
+    follow = follow + np.outer(before / max(1.0, before.sum()), mass)
+    own = (follow.sum(0) + 0.5) / (follow.sum() + 0.5 * (classes + 1))
     transition = np.log10((follow + PRIOR * own) / (follow.sum(1, keepdims=True) + PRIOR))
-    sizes = np.bincount(of_word, n, classes + 2)
-    emission = np.log10(n / sizes[of_word]) if len(n) else np.empty(0)
-    return Model(symbol, n, of_word, transition, emission, classes + 1, classes, rare_tokens, unseen,
-                 tokens + ends, words + (ends > 0), ends, {"least": least, "classes": of})
+    sizes = np.bincount(of[:-1], np.concatenate([n, tail + unseen]), classes + 1)
+    emission = np.log10(np.concatenate([n, np.ones(endings)]) / sizes[of[:-1]])
+    return Model(symbol, n, of[:-1], transition, emission, endings, mass, classes, tokens + ends, words + (ends > 0), ends,
+                 {"least": least, "likelihood": rise, "classes": classes})
 
 
 def score_texts(df: DataFrame, model: Model, counts: DataFrame, text_col: str = "text") -> DataFrame:
     """df without its text, with n_tokens, n_known, train_tokens, base_score and score.
 
     base_score: the unigrams' log10 probability with one added to each count; score: the class model's. A text's tokens
-    are its words and one end. Null text: empty. Empty tables stay empty; columns of df of these names are replaced."""
+    are its words and one end. Null text: empty. Repeated rows and ids: each row is scored alone. Empty tables stay empty;
+    columns of df of these names are replaced."""
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     own = [c for c in df.columns if c not in (*made, text_col)]
     fields = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in df.select(*own).schema)
@@ -287,32 +354,31 @@ def score_texts(df: DataFrame, model: Model, counts: DataFrame, text_col: str =
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
-        get = m.symbol.get
-        base = np.append(np.log10(m.counts + 1.0), 0.0)
-        emission, classes = np.append(m.emission, 0.0), np.append(m.of_symbol, m.rare_class)
+        first = len(m.counts)
+        base, unseen = np.append(np.log10(m.counts + 1.0), np.zeros(m.endings)), np.log10(np.maximum(m.unseen, 1e-300))
         for batch in rows_of(batches):
             cols: list[list] = [[] for _ in range(5)]
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 w = words_of(text)
-                s = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
+                s = m.symbols(w)
                 c = np.full(len(w) + 2, m.end_class, np.int64)
-                c[1:-1] = classes[s]
-                rare = Counter(w[i] for i in np.flatnonzero(s < 0).tolist())
+                c[1:-1] = m.of_symbol[s]
+                rare = Counter((w[i], int(m.of_symbol[s[i]])) for i in np.flatnonzero(s >= first).tolist())
                 values = (len(w) + 1, len(w) - sum(rare.values()) + (m.ends > 0), float(base[s].sum()) + math.log10(m.ends + 1),
-                          float(emission[s].sum() + m.transition[c[:-1], c[1:]].sum()), [{"word": x, "n": n} for x, n in rare.items()])
+                          float(m.emission[s].sum() + m.transition[c[:-1], c[1:]].sum()), [{"word": x, "n": n, "unseen": unseen[c_]} for (x, c_), n in rare.items()])
                 for col, v in zip(cols, values, strict=True):
                     col.append(v)
-            tail = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+            tail = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32()), ("unseen", pa.float64())]))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
                                              names=[*own, "n_tokens", "head_known", "head_base", "head_score", "tail"])
 
     rid = tmp("row")
     heads = durable(df.select(*own, text_or_empty(F.col(text_col)).cast("binary").alias(tmp("text")))
-                    .mapInArrow(scored, f"{fields}n_tokens long, head_known long, head_base double, head_score double, tail array<struct<word:binary,n:int>>")
+                    .mapInArrow(scored, f"{fields}n_tokens long, head_known long, head_base double, head_score double, tail array<struct<word:binary,n:int,unseen:double>>")
                     .withColumn(rid, F.monotonically_increasing_id()))
     n, c = F.col("t.n"), F.coalesce(F.col("c"), F.lit(0))
-    emitted = F.when(c > 0, F.log10(c / F.lit(model.rare_tokens + model.unseen))).otherwise(F.lit(model.unknown))
+    emitted = F.when(c > 0, F.log10(c)).otherwise(F.col("t.unseen"))
     tails = (heads.select(rid, F.explode("tail").alias("t"))
              .join(counts.where(F.col("n") < model.info["least"]).select(F.col("word").alias("w"), F.col("n").alias("c")), F.col("t.word") == F.col("w"), "left")
              .groupBy(rid).agg(F.sum(F.when(c > 0, n).otherwise(0)).alias("known"), F.sum(n * F.log10(c + 1)).alias("base"), F.sum(n * emitted).alias("emitted")))

@@ -355,6 +355,18 @@ def test_class_lm_base_and_smoothing(spark, docs, empty):
     assert {r.train_tokens for r in nothing} == {0} and all(r.base_score == 0 for r in nothing)
 
 
+def binary(spark, texts, parts=3):
+    return spark.createDataFrame([(t,) for t in texts], "text string").select(brown.F.col("text").cast("binary").alias("text")).repartition(parts)
+
+
+def masses(model):
+    """By class, the probability of all its words, where all are held: theirs and the unknown word's."""
+    held = np.arange(len(model.of_symbol)) < len(model.counts)
+    unit = np.zeros(len(model.transition))  # what a count of one in a class has
+    unit[model.of_symbol[~held]] = 10 ** model.emission[~held]
+    return np.bincount(model.of_symbol[held], 10 ** model.emission[held], len(unit)) + unit * model.unseen
+
+
 def test_class_model_is_a_distribution_and_beats_unigrams(spark):
     rng = random.Random(10)
     nouns, verbs = [f"n{i}" for i in range(30)], [f"v{i}" for i in range(30)]
@@ -364,34 +376,50 @@ def test_class_model_is_a_distribution_and_beats_unigrams(spark):
     counts = brown.count_words(words).cache()
     model = brown.fit(words, counts, classes=4)
     assert np.allclose((10 ** model.transition).sum(1), 1)
-    sums = np.bincount(model.of_symbol, 10 ** model.emission, len(model.transition))
-    assert np.allclose(sums[np.unique(model.of_symbol)], 1)
+    assert np.allclose(masses(model)[np.unique(model.of_symbol)], 1)
     of = {w: model.of_symbol[i] for w, i in model.symbol.items()}
     assert not {of[n.encode()] for n in nouns} & {of[v.encode()] for v in verbs}
     got = brown.score_texts(df, model, counts).toPandas()
     assert got.score.sum() > got.base_score.sum() + 0.2 * got.n_tokens.sum()
 
 
-def test_words_beyond_the_single_ones_get_classes_by_context(spark):
+def test_every_word_gets_its_class_by_context(spark):
+    """Of 400 words 20 are clustered on the driver; the rounds place the others, and those beyond the head by ending."""
     rng = random.Random(11)
-    nouns, verbs = [f"n{i}" for i in range(60)], [f"v{i}" for i in range(60)]
-    texts = [(" ".join(w for _ in range(20) for w in (rng.choice(nouns), rng.choice(verbs))),) for _ in range(300)]
-    words = spark.createDataFrame(texts, "text string").select(brown.F.col("text").cast("binary").alias("text")).repartition(3)
+    nouns, verbs = [f"n{i:03}ion" for i in range(200)], [f"v{i:03}ter" for i in range(200)]
+    texts = [" ".join(w for _ in range(20) for w in (rng.choice(nouns), rng.choice(verbs))) for _ in range(400)]
+    words = binary(spark, texts)
     counts = brown.count_words(words).cache()
-    model = brown.fit(words, counts, single=30, classes=4)
-    of = {w: model.of_symbol[i] for w, i in model.symbol.items()}
-    assert not {of[n.encode()] for n in nouns} & {of[v.encode()] for v in verbs}
-    assert np.allclose((10 ** model.transition).sum(1), 1)
+    for head in (1000, 60):
+        model = brown.fit(words, counts, head=head, single=20, classes=4)
+        assert (len(model.symbol) == 400) == (head == 1000) and len(model.symbol) <= head
+        of = lambda ws: collections.Counter(model.of_symbol[model.symbols([w.encode() for w in ws])].tolist())
+        assert not of(nouns) & of(verbs)
+        assert not of(["unhearion"]) & of(verbs) and not of(["unheater"]) & of(nouns)
+        rise = model.info["likelihood"]
+        assert len(rise) > 1 and all(b > a for a, b in zip(rise, rise[1:], strict=False))
+        assert np.allclose((10 ** model.transition).sum(1), 1)
+
+
+def test_classes_grow_with_the_vocabulary():
+    assert [brown.classes_for(n) for n in (0, 10, 5_000, 90_000, 400_000, 10**9)] == [16, 16, 16, 64, 128, 256]
 
 
 def test_the_unknown_word_has_one_mass_whatever_the_head(spark):
-    texts = [(f"a b c a b c a b once{i}",) for i in range(50)]
-    words = spark.createDataFrame(texts, "text string").select(brown.F.col("text").cast("binary").alias("text"))
+    words = binary(spark, [f"a b c a b c a b once{i}" for i in range(50)])
     counts = brown.count_words(words).cache()
-    for head in (200_000, 2, 0):
+    for head in (200_000, 3, 0):
         model = brown.fit(words, counts, head=head)
-        assert model.transition[model.end_class, model.rare_class] + model.unknown < -1
-        assert model.unseen == 25
+        assert model.unseen.sum() == pytest.approx(0.5 * 51)
+        at = model.symbols([b"never"])[0]
+        assert model.transition[model.end_class, model.of_symbol[at]] + model.emission[at] + math.log10(model.unseen[model.of_symbol[at]]) < -0.3
+
+
+def likelihood(pairs, of):
+    one = np.eye(of.max() + 1)[of]
+    n = one.T @ pairs @ one
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    return f(n) - f(n.sum(0)) - f(n.sum(1))
 
 
 def test_exchange_raises_the_likelihood():
@@ -399,21 +427,31 @@ def test_exchange_raises_the_likelihood():
     pairs = rng.integers(0, 5, (20, 20)).astype(float)
     pairs[:10, 10:] += 20
     pairs[10:, :10] += 20
-
-    def value(of):
-        one = np.eye(4)[of]
-        n = one.T @ pairs @ one
-        f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
-        return f(n) - f(n.sum(0)) - f(n.sum(1))
-
     start = np.arange(20) % 4
-    of = brown.exchange(pairs, start, np.zeros(20, bool), 4, rounds=50)
-    assert value(of) > value(start)
+    of = brown.exchange(pairs, start, 4, rounds=50)
+    assert likelihood(pairs, of) > likelihood(pairs, start)
     for s in range(20):  # no single move is better
         for b in range(4):
             other = of.copy()
             other[s] = b
-            assert value(other) <= value(of) + 1e-6
+            assert likelihood(pairs, other) <= likelihood(pairs, of) + 1e-6
+
+
+def test_gains_are_differences_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    pairs = rng.poisson(0.7, (30, 30)).astype(float)
+    of = np.append(rng.integers(0, 5, 29), 5)
+    one = np.eye(6)[of]
+    n = one.T @ pairs @ one
+    for s in range(29):
+        r, l, own, a = pairs[s] @ one, pairs[:, s] @ one, pairs[s, s], of[s]  # noqa: E741
+        r[a] -= own
+        l[a] -= own
+        gain = brown._gains(n, a, r, l, own)
+        for b in range(6):
+            other = of.copy()
+            other[s] = b
+            assert gain[b] - gain[a] == pytest.approx(likelihood(pairs, other) - likelihood(pairs, of), abs=1e-8)
 
 
 # 8 -------------------------------------------------------------------------------------------------------------------
