@@ -2,6 +2,8 @@
 
 Fingerprints are dealt to shards by blocks of their bits. Two that differ in at most 2 of 64 bits agree on 2 of 4
 blocks at least, so each goes to 6 shards (a pair of blocks and its 32 bits) and meets every partner in one of them.
+A shard of more than SHARD fingerprints is dealt again by its other 32 bits in the same way: by pairs of 4 blocks of 8
+bits. So no shard holds more than 2^16 fingerprints, whatever the corpus.
 In a shard a BK-tree (children keyed by their Hamming distance to the parent) is built and searched along the edges
 within the radius. Shards, not trees of all the corpus, travel: the trees' total size grows with the input, so that
 they are sent by a shuffle where a broadcast would have no bound.
@@ -15,7 +17,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import durable, rows_of, text_or_empty, tmp, words_of
@@ -26,6 +28,9 @@ RADIUS = 2
 BLOCKS = 4  # agreement on BLOCKS - RADIUS blocks is certain
 SEED = 42
 CHUNK = 65_536
+SHARD = 8_192  # fingerprints of a shard that isn't dealt again
+HOT = 100_000  # rows of one fingerprint that aren't dealt by it
+HOT_KEYS = 500_000  # such fingerprints that are broadcast: some 50 MB
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -157,20 +162,40 @@ def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return durable(df.select(F.col(id_col), F.xxhash64(text), text.cast("binary")).mapInArrow(hashed, f"doc_id {kind}, text_hash long, fp long"))
 
 
-def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fp, first (struct of none, doc_id, text_hash: the component's least row, null ids last) for every distinct fp."""
-    distinct = durable(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")))
-    width = 64 // BLOCKS
-    block = lambda i: F.shiftrightunsigned(F.col("fp"), width * i).bitwiseAND(F.lit(2**width - 1))
-    shards = [
-        F.shiftleft(F.lit(k).cast("long"), 2 * width).bitwiseOR(F.shiftleft(block(i), width)).bitwiseOR(block(j))
-        for k, (i, j) in enumerate(combinations(range(BLOCKS), BLOCKS - radius))
-    ]
-    dealt = distinct.select(F.explode(F.array(*shards)).alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard")
+def _blocks(value: Column, bits: int) -> list[Column]:
+    """The blocks of a value of that many bits."""
+    width = bits // BLOCKS
+    return [F.shiftrightunsigned(value, width * i).bitwiseAND(F.lit(2**width - 1)) for i in range(BLOCKS)]
+
+
+def _dealt(distinct: DataFrame, most: int) -> DataFrame:
+    """(shard, fp): each fingerprint in the six shards of its pairs of blocks; of a shard above most, in the six of each of
+    these that the pairs of blocks of its other bits make."""
+    pairs = list(combinations(range(BLOCKS), BLOCKS - RADIUS))
+    block = _blocks(F.col("fp"), 64)
+    shards = [F.lit(k << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for k, (i, j) in enumerate(pairs)]
+    dealt = distinct.select(F.explode(F.array(*shards)).alias("shard"), "fp")
+    large = durable(dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > most).select("shard"))
+    few = large.count()
+    if not few:
+        return dealt
+    large = F.broadcast(large) if few <= HOT_KEYS else large
+    others = [[i for i in range(BLOCKS) if i not in pair] for pair in pairs]
+    rest = F.element_at(F.array(*(F.shiftleft(block[i], 16).bitwiseOR(block[j]) for i, j in others)), F.shiftright("shard", 32).cast("int") + 1)
+    part = _blocks(rest, 32)
+    again = [F.lit((k + 1) << 51).bitwiseOR(F.shiftleft("shard", 16)).bitwiseOR(F.shiftleft(part[i], 8)).bitwiseOR(part[j]) for k, (i, j) in enumerate(pairs)]
+    small = dealt.join(large, "shard", "left_anti").select("shard", "fp")
+    return small.unionByName(dealt.join(large, "shard", "left_semi").select(F.explode(F.array(*again)).alias("shard"), "fp"))
+
+
+def components(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """fp, n (its rows) and first (struct of none, doc_id, text_hash: the component's least row, null ids last) for every distinct fp."""
+    distinct = durable(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")))
+    dealt = _dealt(distinct, shard).repartition("shard").sortWithinPartitions("shard")
     roots = component_roots(dealt.mapInArrow(_links(radius), "u long, v long"))
-    rooted = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
+    rooted = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "n", "first", F.coalesce("v", "fp").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return rooted.drop("first").join(firsts, "root").select("fp", "first")
+    return rooted.drop("first").join(firsts, "root").select("fp", "n", "first")
 
 
 def simhash_near_dups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -181,8 +206,17 @@ def simhash_near_dups(df: DataFrame, text_col: str = "text", id_col: str = "doc_
     if radius != RADIUS:
         raise ValueError("shards are dealt for a radius of 2")
     prints = fingerprints(df, text_col, id_col, words)
-    return prints.join(components(prints, radius), "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+    found = durable(components(prints, radius).select("fp", "n", F.col("first.doc_id").alias("least")))
+    hot = found.where(F.col("n") > HOT).select("fp", F.col("least").alias("hot"), F.lit(True).alias("told"))
+    few = hot.count()
+    if 0 < few <= HOT_KEYS:  # the rows of a frequent fingerprint stay where they are
+        marked = prints.join(F.broadcast(hot), "fp", "left")
+        rest = marked.where(F.col("told").isNull()).select("doc_id", "fp").join(found, "fp").select("doc_id", "fp", "least")
+        out = rest.unionByName(marked.where("told").select("doc_id", "fp", F.col("hot").alias("least")))
+    else:
+        out = prints.join(found, "fp")
+    return out.select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -196,5 +230,5 @@ def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
 
 
 def op1_simhash(documents: DataFrame) -> DataFrame:
-    """The contract's result over all documents."""
+    """The contract's result over all documents; null ids and texts, repeated rows and empty tables as there."""
     return simhash_near_dups(documents)
