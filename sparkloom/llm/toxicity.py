@@ -1,8 +1,9 @@
 """Toxicity by a logistic classifier that is held to equal scores for counterfactual texts.
 
 Features are a text's distinct words and the 5-letter beginnings of its longer words, by 32-bit hash. In a labelled text
-that names an identity, each such term is swapped for the next of its group; training adds a penalty on the squared
-difference of the two texts' logits, so that a neutral mention of a group moves no score.
+that names an identity, each such term is swapped for the next of its group; a labelled text that names none is given one
+term of a group, and once another of it, by its hash. Training adds a penalty on the squared difference of the two texts'
+logits, so that a neutral mention of a group moves no score.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import crc32_mod, rows_of, tmp
 
-#: Terms that may take each other's place in a sentence, by group.
+#: Terms that may take each other's place in a sentence, by group, in English, French, German and Spanish.
 IDENTITY_TERMS = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
@@ -29,6 +30,14 @@ IDENTITY_TERMS = (
     ("woman", "man"), ("women", "men"), ("female", "male"), ("girl", "boy"),
     ("immigrant", "refugee", "foreigner", "citizen"),
     ("deaf", "blind", "disabled"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("femme", "homme"), ("femmes", "hommes"), ("immigré", "réfugié", "étranger", "citoyen"), ("sourd", "aveugle", "handicapé"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("frau", "mann"), ("frauen", "männer"), ("einwanderer", "flüchtling", "ausländer", "bürger"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("mujer", "hombre"), ("mujeres", "hombres"), ("inmigrante", "refugiado", "extranjero", "ciudadano"),
 )
 TOKEN = re.compile(r"[^\W_]+")
 STEM = 5
@@ -41,6 +50,20 @@ def swaps(groups: Sequence[Sequence[str]] = IDENTITY_TERMS) -> list[dict[str, st
     return [{t: g[(i + k) % len(g)] for g in groups for i, t in enumerate(g) if k % len(g)} for k in range(1, longest)]
 
 
+def counterparts(words: set[str], turns: list[dict[str, str]], groups: Sequence[Sequence[str]]) -> list[tuple[set[str], set[str]]]:
+    """Pairs of word sets that should score alike: a text and each of its swaps, or where it names no group, it with a
+    mention and with another of the same group."""
+    if pairs := [(words, {t.get(w, w) for w in words}) for t in turns if words & t.keys()]:
+        return pairs
+    some = [g for g in groups if len(g) > 1]
+    if not some or not words:
+        return []
+    h = crc32(" ".join(sorted(words)).encode("utf-8", "surrogatepass"))
+    g = some[h % len(some)]
+    i = h // len(some) % len(g)
+    return [(words | {g[i]}, words | {g[(i + 1) % len(g)]})]
+
+
 def features(words: set[str]) -> np.ndarray:
     """Hashes of the words and of the longer words' beginnings, distinct."""
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -168,7 +191,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, text_col: str = "text"
                  groups: Sequence[Sequence[str]] = IDENTITY_TERMS, sample: int = SAMPLE) -> Model:
     """A model of at most sample labelled documents, those of the least hash of the id: the documented bound on what is
     broadcast (ids and labels) and on what the driver holds (hashes of words). Null ids, labels and texts are left out;
-    of an id's several labels the greatest counts, of its several texts the least features."""
+    of an id's several labels the greatest counts, of its several texts the least features, so that repeated rows and the
+    order of rows change nothing. Other columns are ignored."""
     turns = swaps(groups)
     label = F.col(label_col).cast("int")
     known = labels.where(label.isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("label"))
@@ -180,7 +204,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, text_col: str = "text"
             for text in batch.column(2).to_pylist():
                 words = words_in(text)
                 own.append(features(words).tobytes())
-                other.append([features({t.get(w, w) for w in words}).tobytes() for t in turns if words & t.keys()])
+                other.append([features(x).tobytes() for pair in counterparts(words, turns, groups) for x in pair])  # two by two
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.binary()), pa.array(other, pa.list_(pa.binary()))], names=["id", "label", "own", "other"])
 
     texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
@@ -190,15 +214,16 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, text_col: str = "text"
     order = np.argsort(got.column(0).to_numpy(), kind="stable")  # sums in the same order in any run
     own, other = (c.take(pa.array(order)).to_pylist() for c in (got.column(2), got.column(3)))
     own = [np.frombuffer(x, np.uint32) for x in own]
-    pairs = [(a, np.frombuffer(b, np.uint32)) for a, swapped in zip(own, other, strict=True) for b in swapped]
+    read = lambda x: np.frombuffer(x, np.uint32)
+    pairs = [(read(x[i]), read(x[i + 1])) for x in other for i in range(0, len(x), 2)]
     return fit(own, got.column(1).to_numpy()[order], pairs)
 
 
 def score_toxicity(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df without its text, with score (0 to 1) and predicted (1 if score >= 0.5).
 
-    Only the text is an input. Null and empty texts get the score of no words. Empty tables stay empty; columns of df
-    named score or predicted are replaced."""
+    Only the text is an input, and whole: its distinct words, however long it is. Null and empty texts get the score of no
+    words; equal texts equal scores. Empty tables stay empty; columns of df named score or predicted are replaced."""
     own = [c for c in df.columns if c not in ("score", "predicted", text_col)]
     fields = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in df.select(*own).schema)
     table, bias = df.sparkSession.sparkContext.broadcast(model.table()), model.bias
@@ -213,8 +238,31 @@ def score_toxicity(df: DataFrame, model: Model, text_col: str = "text") -> DataF
     return df.select(*own, F.col(text_col).cast("string").alias(tmp("text"))).mapInArrow(scored, f"{fields}score double, predicted int")
 
 
+def score_gaps(df: DataFrame, model: Model, text_col: str = "text", groups: Sequence[Sequence[str]] = IDENTITY_TERMS) -> DataFrame:
+    """One row over the texts of df that name a group: texts, their swaps (pairs), and the mean and greatest difference of
+    a swap's score from its text's (null where there is none)."""
+    turns = swaps(groups)
+    table, bias = df.sparkSession.sparkContext.broadcast(model.table()), model.bias
+
+    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            pairs, most, total = [], [], []
+            for text in batch.column(0).to_pylist():
+                words = words_in(text)
+                off = [abs(score_words(words, table.value, bias) - score_words({t.get(w, w) for w in words}, table.value, bias)) for t in turns if words & t.keys()]
+                if off:
+                    pairs.append(len(off))
+                    most.append(float(max(off)))
+                    total.append(float(sum(off)))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(most, pa.float64()), pa.array(total, pa.float64())], names=["pairs", "most", "total"])
+
+    each = df.select(F.col(text_col).cast("string")).mapInArrow(gaps, "pairs long, most double, total double")
+    return each.agg(F.count("*").alias("texts"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.try_divide(F.sum("total"), F.sum("pairs")).alias("mean_gap"), F.max("most").alias("greatest_gap"))
+
+
 def op2_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract's result: a model of labelled rows that aren't held out, applied to all documents."""
+    """The contract's result: a model of labelled rows that aren't held out, applied to all documents. Null ids, labels and
+    texts, repeated rows and empty tables as in fit_toxicity and score_toxicity."""
     held_out = crc32_mod("doc_id", 5) == 0
     model = fit_toxicity(documents, labels.where(~held_out))
     return score_toxicity(documents.select("doc_id", held_out.alias("held_out"), "text"), model)
