@@ -1,8 +1,13 @@
 """Near-duplicate lines by a deletion-neighbourhood join, native plan only.
 
-A line is its words: lower-cased, trimmed, split at single spaces. Two lines match if they are equal or, where both have
-MIN_WORDS words or more, if one word's change, removal or insertion makes one the other. A line goes if an earlier line
+A line counts in lower case, without blanks at its ends. Two lines match if they are equal, or if one character's change,
+removal or insertion makes one the other and that is at most a fifth of the longer line. A line goes if an earlier line
 matches it; order is by document id (nulls last) and place. Blank lines always stay.
+
+The neighbourhood of a whole line would be a variant as long as the line for each of its characters. An edit leaves all of
+a line but one of its segments as it is, so lines are first joined by what is left without a segment, of which a line of n
+characters has about the root of n, and only the segments of lines that share that emit variants: its key and the segment
+without one character, hashed. Equal variants are joined, and the lines' edit distance is verified.
 """
 
 from __future__ import annotations
@@ -12,10 +17,11 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import durable, text_or_empty, tmp
 
-MIN_WORDS = 5
-SEGMENTS = 8  # of the second filter
+SHORTEST = 4  # characters of a line that can match another but equal one: a fifth of five is one edit
+SHARE = 5  # an edit is at most one in so many characters
 BLANKS = " \t\r\x0b\x0c"
-BROADCAST_ROWS = 1_000_000  # of a few longs each: some 32 MB
+BROADCAST_BYTES = 16 << 20
+ROW_BYTES = 64  # of a few longs in a broadcast table
 NONE, ID, HASH, POS, LINE, H1, H2, GONE = (tmp(x) for x in ("none", "id", "hash", "pos", "line", "h1", "h2", "gone"))
 FIRST = (NONE, ID, HASH, POS)
 
@@ -30,27 +36,18 @@ def _lines(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return norm.withColumns({H1: F.xxhash64(LINE), H2: F.xxhash64(F.lit(7), F.col(LINE))})
 
 
-def _count(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-
-
-def _part(line: str, n: Column) -> Column:
-    """The first n words, or the last -n."""
-    return F.call_function("substring_index", F.col(line), F.lit(" "), n)
-
+def _rest(line: Column, length: Column, j: Column, segments: Column) -> tuple[Column, Column, Column]:
+    """(hash of the line without its segment j, first and last of that) as of a line of length characters: what is left of
+    the segment is counted from the line's start, what is right of it from its end. So a line one character longer has
+    the rest of a line of that length, and its own segment is one longer."""
+    lo, hi = (F.floor(length * x / segments).cast("int") for x in (j, j + 1))
+    right = length - hi
+    return F.xxhash64(length, j, F.substring(line, F.lit(1), lo), F.right(line, right)), lo, right
 
-def _keys(line: str, n: str, segments: int) -> Column:
-    """Hashes of the line without each of its segments, of which two lines that match have one in common: an edit leaves
-    all segments but one as they are.
 
-    A line of n words also has the keys of a line of n - 1 words, for a partner that is one word shorter: what is left of
-    a segment is counted from the line's start, what is right of it from its end."""
-    out = []
-    for length in (F.col(n), F.col(n) - 1):
-        bound = [F.floor(length * j / segments).cast("int") for j in range(segments + 1)]
-        for j in range(segments):
-            out.append(F.xxhash64(length, F.lit(j), _part(line, bound[j]), _part(line, bound[j + 1] - length)))
-    return F.array(*out)
+def _halves(line: str, n: Column) -> Column:
+    """Hashes of each half, as of its own length and of one less; two lines that match have one in common."""
+    return F.array(*(_rest(F.col(line), length, F.lit(j), F.lit(2))[0] for length in (n, n - 1) for j in (0, 1)))
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -59,25 +56,29 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if its size allows."""
+    """A written table of a few longs a row, to be broadcast if its size allows."""
     df = durable(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() * ROW_BYTES <= BROADCAST_BYTES else df
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """at 0: the whole line; at i: the line without its i-th word; hashed."""
-    cut = lines.select("ord", "n", LINE, F.explode(F.sequence(F.lit(0), F.col("n"))).alias("at"))
-    at, n = F.col("at"), F.col("n")
-    without = (F.when(at == 0, F.col(LINE)).when(at == 1, _part(LINE, 1 - n)).when(at == n, _part(LINE, n - 1))
-               .otherwise(F.concat(_part(LINE, at - 1), F.lit(" "), _part(LINE, at - n))))
-    return cut.select("ord", "n", "at", F.xxhash64(without).alias("variant"))
+def _parts(whole: DataFrame) -> DataFrame:
+    """length, j, key, lo, right: what is left of each line without each of its segments, as of its own length and of one less."""
+    n = F.col("n")
+    cut = whole.select(H1, H2, LINE, "n", F.explode(F.array(n, n - 1)).alias("length")).withColumn("segments", F.ceil(F.sqrt("length")).cast("int"))
+    each = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)))
+    key, lo, right = _rest(F.col(LINE), F.col("length"), F.col("j"), F.col("segments"))
+    return each.select(H1, H2, "length", key.alias("key"), lo.alias("lo"), right.alias("right"))
 
 
-def _within_one(a: Column, b: Column) -> Column:
-    """Whether the edit distance of two word lists is at most 1."""
-    changed = F.size(F.filter(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda z: z)) <= 1
-    shorter = lambda s, l: F.exists(F.sequence(F.lit(1), F.size(l)), lambda i: F.concat(F.slice(l, F.lit(1), i - 1), F.slice(l, i + 1, F.size(l))) == s)  # noqa: E731, E741
-    return F.when(F.size(a) == F.size(b), changed).when(F.size(a) + 1 == F.size(b), shorter(a, b)).when(F.size(a) == F.size(b) + 1, shorter(b, a)).otherwise(False)
+def _variants(segments: DataFrame) -> DataFrame:
+    """at 0: the whole segment, of a line of its key's length; at i: the segment without its i-th character; with the
+    key, hashed twice. long: the line is one longer than its key's length."""
+    long, size = F.col("n") > F.col("length"), F.col("n") - F.col("lo") - F.col("right")
+    cut = segments.select("ord", "key", long.alias("long"), F.substring(F.col(LINE), F.col("lo") + 1, size).alias("part"), size.alias("size"))
+    each = cut.withColumn("at", F.explode(F.sequence(F.col("long").cast("int"), F.col("size"))))
+    left, right = F.substring("part", F.lit(1), F.col("at") - 1), F.right(F.col("part"), F.col("size") - F.col("at"))
+    without = F.when(F.col("at") == 0, F.col("part")).otherwise(F.concat(left, right))
+    return each.select("ord", "long", "at", F.xxhash64("key", without).alias("variant"), F.hash(without, "key").alias("check"))
 
 
 def near_lines(lines: DataFrame, slim: DataFrame) -> DataFrame:
@@ -85,37 +86,40 @@ def near_lines(lines: DataFrame, slim: DataFrame) -> DataFrame:
 
     Lines that share a half, and of these such that are equal but for a segment, emit variants; the filters lose no
     match. In a group of equal variants each line looks at the earliest only, which is enough: lines of equal length
-    without the same word are all within one edit of each other, and a group has at most one whole line, within one edit
-    of all others. So a group's work is in proportion to its size. ord numbers lines in the order of their first place."""
+    without the same character are all within one edit of each other, and a group has at most one whole line, within one
+    edit of all others. So a group's work is in proportion to its size. ord numbers lines in the order of their first
+    place."""
     halves = slim.where(F.col("halves").isNotNull()).select(H1, H2, F.explode("halves").alias("key"))
     some = _small(halves.join(_small(_shared(halves)), "key", "left_semi").select(H1, H2).distinct())
     found = lines.join(some, [H1, H2], "left_semi").groupBy(H1, H2).agg(F.min(F.struct(*FIRST)).alias("first"), F.first(LINE).alias(LINE))
-    whole = durable(found.withColumn("n", _count(F.col(LINE))))
-    parts = whole.select(H1, H2, F.explode(_keys(LINE, "n", SEGMENTS)).alias("key"))
-    close = whole.join(_small(parts.join(_shared(parts), "key", "left_semi").select(H1, H2).distinct()), [H1, H2], "left_semi")
+    whole = durable(found.withColumn("n", F.length(LINE)))
+    parts = _parts(whole)
+    close = durable(parts.join(_small(_shared(parts)), "key", "left_semi"))
     order = [F.col(f"first.{c}") for c in FIRST]
-    chosen = durable(close.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()))
-    variants = durable(_variants(chosen))  # read four times
-    cut = variants.where("at > 0")
-    swapped = cut.groupBy("variant", "at", "n").agg(F.min("ord").alias("other"), F.max("ord").alias("last")).where("other < last").drop("last")
-    length = variants.groupBy("variant").agg(F.min(F.when(F.col("at") == 0, F.col("ord"))).alias("whole"), F.min(F.when(F.col("at") > 0, F.col("ord"))).alias("cut")).where("whole is not null and cut is not null")
-    by_swap = cut.join(swapped, ["variant", "at", "n"]).select("ord", "other")
-    by_length = variants.join(length, "variant").select("ord", F.when(F.col("at") == 0, F.col("cut")).otherwise(F.col("whole")).alias("other"))
+    chosen = whole.join(_small(close.select(H1, H2).distinct()), [H1, H2], "left_semi")
+    chosen = durable(chosen.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()))
+    variants = durable(_variants(close.join(chosen, [H1, H2])))  # read four times
+    cut, group = variants.where("at > 0"), ["variant", "check"]
+    swapped = cut.where("not long").groupBy(*group, "at").agg(F.min("ord").alias("other"), F.max("ord").alias("last")).where("other < last").drop("last")
+    length = variants.groupBy(*group).agg(F.min(F.when(F.col("at") == 0, F.col("ord"))).alias("whole"), F.min(F.when(F.col("long"), F.col("ord"))).alias("cut")).where("whole is not null and cut is not null")
+    by_swap = cut.where("not long").join(swapped, [*group, "at"]).select("ord", "other")
+    by_length = variants.where("long or at = 0").join(length, group).select("ord", F.when(F.col("at") == 0, F.col("cut")).otherwise(F.col("whole")).alias("other"))
     pairs = by_swap.unionAll(by_length).where("other < ord").distinct()
     a, b = chosen.select("ord", H1, H2, LINE), chosen.select(F.col("ord").alias("other"), F.col(LINE).alias("others"))
-    both = pairs.join(a, "ord").join(b, "other").select(H1, H2, F.split(LINE, " ").alias("words"), F.split("others", " ").alias("others"))
-    return both.where(_within_one(F.col("words"), F.col("others"))).select(H1, H2).distinct()
+    both = pairs.join(a, "ord").join(b, "other")
+    edits = F.levenshtein(F.col(LINE), F.col("others"), 1)
+    return both.where((edits >= 0) & (edits * SHARE <= F.greatest(F.length(LINE), F.length("others")))).select(H1, H2).distinct()
 
 
 def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """df with the lines that an earlier line matches taken out of its text, and lines and kept (their numbers).
 
-    Null text: stays null, no lines. Null ids come last. Rows equal in id and text are one document: each of them keeps
+    Null text: stays null, no lines. Null ids come last. Lines and texts of any length. Rows equal in id and text are one document: each of them keeps
     the lines that it would keep alone. A text all of whose lines go is empty. Empty table: empty result. Columns of df
     named lines or kept are replaced."""
     lines = _lines(df, text_col, id_col)
-    counted = lines.withColumn("n", _count(F.col(LINE)))
-    slim = durable(counted.select(*FIRST, H1, H2, F.when(F.col("n") >= MIN_WORDS, _keys(LINE, "n", 2)).alias("halves")))
+    counted = lines.withColumn("n", F.length(LINE))
+    slim = durable(counted.select(*FIRST, H1, H2, F.when(F.col("n") >= SHORTEST, _halves(LINE, F.col("n"))).alias("halves")))
     near = _small(near_lines(lines, slim))
     here = slim.select(H1, H2, F.struct(*FIRST).alias("here"))
     again = _small(here.groupBy(H1, H2).agg(F.min("here").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
@@ -141,20 +145,19 @@ WITH lines AS (
   SELECT doc_id, pos, lower(trim(string_split(text, chr(10))[pos], ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS line
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)
 ), classes AS (
-  SELECT line, min((doc_id, pos)) AS first, string_split(line, ' ') AS words, row_number() OVER () AS id
-  FROM lines WHERE line <> '' GROUP BY line
-), variants AS (
-  SELECT id, first, len(words) AS n, place,
-    CASE WHEN place = 0 THEN line ELSE array_to_string(list_concat(words[1:place - 1], words[place + 1:]), ' ') END AS variant
-  FROM (SELECT *, unnest(range(0, len(words) + 1)) AS place FROM classes WHERE len(words) >= 5)
-), least AS (
-  SELECT variant, min(first) FILTER (place = 0) AS whole, min(first) FILTER (place > 0) AS cut FROM variants GROUP BY variant
-), swapped AS (
-  SELECT variant, place, n, min(first) AS other FROM variants WHERE place > 0 GROUP BY ALL
+  SELECT line, len(line) AS n, min((doc_id, pos)) AS first, row_number() OVER () AS id FROM lines WHERE line <> '' GROUP BY line
+), lengths AS (
+  SELECT *, unnest([n, n - 1]) AS length FROM classes WHERE n >= 4
+), halves AS (
+  SELECT id, n, line, first, unnest([hash(length, 'l', left(line, length // 2)), hash(length, 'r', right(line, length - length // 2))]) AS half FROM lengths
+), pairs AS (
+  SELECT DISTINCT a.id, CASE WHEN a.n <= b.n THEN a.line ELSE b.line END AS short, CASE WHEN a.n <= b.n THEN b.line ELSE a.line END AS long
+  FROM halves a JOIN halves b ON a.half = b.half AND b.first < a.first AND abs(a.n - b.n) <= 1 AND greatest(a.n, b.n) >= 5
+), letters AS (
+  SELECT id, string_split(short, '') AS s, string_split(long, '') AS l FROM pairs
 ), near AS (
-  SELECT id FROM variants JOIN swapped USING (variant, place, n) WHERE other < first
-  UNION
-  SELECT id FROM variants JOIN least USING (variant) WHERE CASE WHEN place = 0 THEN cut ELSE whole END < first
+  SELECT DISTINCT id FROM (SELECT *, coalesce(list_position(list_transform(list_zip(s, l), lambda x: x[1] IS DISTINCT FROM x[2]), true), len(s) + 1) AS p FROM letters)
+  WHERE s[p + CASE WHEN len(s) = len(l) THEN 1 ELSE 0 END:] = l[p + 1:]
 ), judged AS (
   SELECT l.doc_id, l.pos, l.line = '' OR (c.first = (l.doc_id, l.pos) AND n.id IS NULL) AS stays
   FROM lines l LEFT JOIN classes c USING (line) LEFT JOIN near n ON n.id = c.id
