@@ -85,34 +85,44 @@ def _likelihood(n: np.ndarray) -> float:
     return float(_xlogx(n).sum() - _xlogx(n.sum(0)).sum() - _xlogx(n.sum(1)).sum())
 
 
-def _gains(n: np.ndarray, a: int, r: np.ndarray, l: np.ndarray, own: float) -> np.ndarray:  # noqa: E741
-    """By class, the likelihood if a word of class a were there, but for a constant; r, l: its followers' and precursors'
-    classes without its pairs with itself (own). Only the classes that it meets are looked at."""
-    outs, ins, both = n.sum(1), n.sum(0), np.diagonal(n).copy()
-    outs[a] -= r.sum() + own  # without the word; its precursors and followers stay where they are
-    ins[a] -= l.sum() + own
-    both[a] -= r[a] + l[a] + own
-    near = []
+def _gains(n: np.ndarray, a: np.ndarray, r: np.ndarray, l: np.ndarray, own: np.ndarray) -> np.ndarray:  # noqa: E741
+    """By word and class, the likelihood if the word of class a were there, but for a constant of the word; r, l: its
+    followers' and precursors' classes, a row each, without its pairs with itself (own). Only classes it meets are looked at."""
+    w = np.arange(len(a))
+    gain = np.zeros_like(r)
     for m, x, y in ((n, r, l), (n.T, l, r)):
-        at = np.flatnonzero(x)
-        part = m[:, at].copy()
-        part[a] -= x[at]
-        part[:, at == a] -= y[:, None]
-        part[a, at == a] -= own
-        rise = _xlogx(part + x[at]) - _xlogx(part)
-        rise[at, np.arange(len(at))] = 0.0  # the diagonal is told below
-        near.append(rise.sum(1))
-    gain = near[0] + near[1] + _xlogx(both + r + l + own) - _xlogx(both)
-    return gain - _xlogx(outs + r.sum() + own) + _xlogx(outs) - _xlogx(ins + l.sum() + own) + _xlogx(ins)
-
-
-def _best(gain: np.ndarray, a: int, open_: int, cost: float = 1e-9) -> int:
+        of, at = np.nonzero(x)
+        if not len(of):
+            continue
+        e, more = np.arange(len(of)), x[of, at]
+        part = m.T[at].copy()  # [entry, class]: from each class to the one that is met
+        part[e, a[of]] -= more  # without the word
+        same = at == a[of]
+        part[same] -= y[of[same]]
+        part[e[same], at[same]] -= own[of[same]]
+        rise = _xlogx(part + more[:, None]) - _xlogx(part)
+        rise[e, at] = 0.0  # the diagonal is told below
+        starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        gain[of[starts]] += np.add.reduceat(rise, starts, axis=0)
+    both = np.tile(np.diagonal(n), (len(a), 1))
+    both[w, a] -= r[w, a] + l[w, a] + own
+    gain += _xlogx(both + r + l + own[:, None]) - _xlogx(both)
+    for m, x in ((n.sum(1), r), (n.sum(0), l)):
+        sums, more = np.tile(m, (len(a), 1)), x.sum(1) + own
+        sums[w, a] -= more  # without the word; its precursors and followers stay where they are
+        gain += _xlogx(sums) - _xlogx(sums + more[:, None])
+    return gain
+
+
+def _best(gain: np.ndarray, a: np.ndarray, open_: int, cost: float = 1e-9) -> np.ndarray:
     """The class of the greatest gain among the first open_, if it is above a's by more than cost; ties go to the lower."""
-    gain = gain[:open_]
-    return a if gain[a] >= gain.max() - cost else int(np.argmax(gain))
+    gain = gain[:, :open_]
+    best = gain.argmax(1)
+    w = np.arange(len(a))
+    return np.where(gain[w, best] - gain[w, a] > cost, best, a)
 
 
-def exchange(pairs: np.ndarray, start: np.ndarray, open_: int, rounds: int = 20) -> np.ndarray:
+def exchange(pairs: np.ndarray, start: np.ndarray, open_: int, rounds: int = 6) -> np.ndarray:
     """Classes of symbols: each in turn moves to the class that raises the class bigrams' likelihood most.
 
     pairs[a, b]: how often b follows a. Symbols whose class is open_ or above stay, and none goes there. Sums are of whole
@@ -130,7 +140,8 @@ def exchange(pairs: np.ndarray, start: np.ndarray, open_: int, rounds: int = 20)
             a, r, l, own = of[s], right[s].copy(), left[s].copy(), pairs[s, s]
             r[a] -= own
             l[a] -= own
-            b = _best(_gains(n, a, r, l, own), a, open_)
+            one = of[s:s + 1]
+            b = int(_best(_gains(n, one, r[None], l[None], pairs[s, s:s + 1]), one, open_)[0])
             if b != a:
                 for at, sign in ((a, -1), (b, 1)):
                     n[at] += sign * r
@@ -205,8 +216,9 @@ def _bigrams(ids: DataFrame, of: np.ndarray) -> np.ndarray:
 
 
 def _placed(ids: DataFrame, of: np.ndarray, follow: np.ndarray) -> np.ndarray:
-    """Each symbol's class of the greatest gain, all others staying, where it is worth the cost of naming a class. The end (the last symbol and class) takes no words. A
-    symbol's neighbours are counted in the tasks and dealt by symbol: at most twice the classes and one numbers for each."""
+    """Each symbol's class of the greatest gain, all others staying, where it is worth the cost of naming a class. The end
+    (the last symbol and class) takes no words. A symbol's neighbours are counted in the tasks and dealt by symbol: at most
+    twice the classes and one numbers for each."""
     classes, end = len(follow), len(of) - 1
     slots = 2 * classes + 1  # followers by class, precursors by class, the symbol itself
     held = ids.sparkSession.sparkContext.broadcast((of.astype(np.int32), follow))
@@ -244,15 +256,18 @@ def _placed(ids: DataFrame, of: np.ndarray, follow: np.ndarray) -> np.ndarray:
         of_, n = held.value
         for batch in rows_of(batches):
             near = batch.column(1)
-            starts, flat = near.offsets.to_numpy(), near.values
+            starts, flat = near.offsets.to_numpy().astype(np.int64), near.values
             slot, count = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            out = []
-            for i, word in enumerate(batch.column(0).to_pylist()):
-                v = np.zeros(slots)
-                v[slot[starts[i]:starts[i + 1]]] = count[starts[i]:starts[i + 1]]
-                a = int(of_[word])
-                out.append(_best(_gains(n, a, v[:classes], v[classes:-1], v[-1]), a, classes - 1, cost))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["word", "class"])
+            words, at = batch.column(0).to_numpy(), 0
+            out = np.empty(len(words), np.int32)
+            while at < len(words):  # as many words as have some thousand neighbours
+                upto = max(at + 1, int(np.searchsorted(starts, starts[at] + 4_096, "right")) - 1)
+                v = np.zeros((upto - at, slots))
+                v[np.repeat(np.arange(upto - at), np.diff(starts[at:upto + 1])), slot[starts[at]:starts[upto]]] = count[starts[at]:starts[upto]]
+                a = of_[words[at:upto]].astype(np.int64)
+                out[at:upto] = _best(_gains(n, a, v[:, :classes], v[:, classes:-1], v[:, -1]), a, classes - 1, cost)
+                at = upto
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["word", "class"])
 
     cost = math.log(classes)
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes make much work here
