@@ -4,13 +4,14 @@ All passages of the corpus and the benchmark, over the benchmark's vocabulary, m
 corpus gives the document frequencies and T'(T R) for term counts T and random signs R: with D = diag(idf) and the test
 matrix R / idf that is the sketch A'A(R / idf) = D T'(T R) of the randomised SVD, whose orthonormal basis spans the latent
 space. A second pass compares windows of every text with the benchmark's passages by cosine in that space; a candidate is
-a leak if a longest common subsequence holds enough of the item's words and enough of its answer.
+a leak if a longest common subsequence holds enough of the passage's words and enough of its answer. Two passes serve a
+benchmark of any size. A benchmark is held by the driver and the tasks: some 1 KB for each of its distinct words.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -19,20 +20,22 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.llm.common import rows_of, tmp
 
 #: Words are what remains between ASCII punctuation and the marks and spaces of three Unicode blocks.
 MARKS = re.compile("[\u0080-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]")
 ASCII = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
-BLOCK = 8  # words whose vectors are summed first
-SCALES = (16, 24, 32, 48, 64)  # windows' words, BLOCK apart; a benchmark passage is compared at the least that holds it
+BLOCK = 4  # words whose vectors are summed first; windows start at each
+SCALES = (16, 24, 32, 48, 64)  # windows' words; a passage is compared at the least that holds it
+STEP = 32  # words between the passages of an item that is longer than the last scale
 RANK = 96
-COSINE = 0.5  # candidates: more than four standard deviations of unrelated windows
-COMMON = 0.65  # of an item's words in the common subsequence
+COSINE = (0.35, 0.35, 0.4, 0.4, 0.4)  # candidates, by scale: at least three standard deviations of unrelated windows
+COMMON = 0.65  # of a passage's words in the common subsequence
 ANSWER = 0.6  # of the answer's words among those
-REACH = 32  # words looked at on either side of a window, and more for items longer than it
-ITEMS = 2_000  # benchmark items searched at a time: the bound on what tasks hold
+REACH = 32  # words looked at on either side of a window
+COLUMNS = 2_048  # passages compared at a time
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -43,10 +46,10 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 @dataclass
-class Item:
-    """A benchmark item: its words' terms, the terms that are its answer."""
+class Passage:
+    """Words in a row of a benchmark item, as terms, and the terms that are its answer."""
 
-    key: object
+    key: object  # the item's
     terms: list[int]
     answer: set[int]
 
@@ -107,79 +110,95 @@ def signs_of(terms: int, rank: int, seed: int) -> np.ndarray:
 
 @dataclass
 class Search:
-    """What a task needs to compare texts with the benchmark's items."""
+    """What a task needs to compare texts with the benchmark's passages."""
 
     terms: dict[bytes, int]
     embed: np.ndarray  # idf x basis, by term; the last row is zero
-    items: list[Item]
-    passages: dict[int, tuple[np.ndarray, np.ndarray]]  # by scale: items' places, unit vectors in columns
-    def of_items(self) -> tuple[np.ndarray, np.ndarray]:
-        """Whether an item has a term; how many distinct terms it has in common with a text that leaks it, at least."""
-        if not hasattr(self, "_of_items"):
-            has = np.zeros((len(self.items), len(self.terms) + 1), bool)
-            for i, item in enumerate(self.items):
-                has[i, item.terms] = True
-            n = np.array([len(item.terms) for item in self.items])
-            self._of_items = has, np.where(n <= SCALES[-1], has.sum(1) - (1 - COMMON) * n, 1)
-        return self._of_items
+    passages: list[Passage]
+    scales: dict[int, tuple[np.ndarray, np.ndarray]]  # by scale: passages' places, unit vectors in columns
+
+    def _at(self, place: np.ndarray, term: np.ndarray) -> np.ndarray:
+        return (place * np.int64(len(self.terms) + 1) + term) * np.int64(0x9E3779B97F4A7C1) >> 8 & (len(self.cells) - 1)
+
+    def prepare(self) -> None:
+        """cells: whether a passage has a term, by hash, so that the memory grows with the passages' words alone; an
+        accident lets a candidate through to the check. need: how many distinct terms a leak shares at least."""
+        if not hasattr(self, "cells"):
+            words = [np.array(sorted(set(p.terms))) for p in self.passages]
+            sizes = np.array([len(w) for w in words], np.int64)
+            self.cells = np.zeros(1 << int(8 * sizes.sum() + 1).bit_length(), bool)
+            if len(words):
+                self.cells[self._at(np.repeat(np.arange(len(words)), sizes), np.concatenate(words))] = True
+            self.need = sizes - (1 - COMMON) * np.array([len(p.terms) for p in self.passages])
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_of_items"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cells", "need")}
 
-    def leaks(self, texts: list[str | None], first_only: bool = False) -> Iterator[tuple[int, Item, float, float]]:
-        """(text, item, cosine, share of the item's words in the common subsequence); each text and item at most once."""
-        ids, starts = _encode(texts, self.terms, BLOCK)
+    def candidates(self, texts: list[str | None], cosine: Sequence[float] = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+        """(windows' first words, passages' places, cosines, whether they share enough distinct terms, scale) for blocks of
+        the windows and passages whose cosine is high enough; self.ids and self.starts are the texts' words."""
+        self.prepare()
+        self.ids, self.starts = ids, starts = _encode(texts, self.terms, BLOCK)
         if not len(ids):
             return
-        blocks = self.embed[ids].reshape(len(ids) // BLOCK, BLOCK, -1).sum(1)
-        found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
         ends = np.append(starts[1:], len(ids))
-        has, need = self.of_items()
+        blocks = self.embed[ids].reshape(len(ids) // BLOCK, BLOCK, -1).sum(1)
         windows, wide = blocks.copy(), BLOCK
-        for scale, (places, vectors) in self.passages.items():
+        for scale, least in zip(SCALES, cosine, strict=True):
             for more in range(wide // BLOCK, scale // BLOCK):
                 windows[:-more or None] += blocks[more:]
             wide = scale
+            if scale not in self.scales:
+                continue
+            places, vectors = self.scales[scale]
             norms = np.sqrt(np.einsum("ij,ij->i", windows, windows))
-            cosines = windows @ vectors
-            w, p = np.nonzero(cosines >= (COSINE * np.where(norms > 0, norms, np.inf))[:, None])
-            text = np.searchsorted(starts, w * BLOCK, "right") - 1
-            # the item's distinct words in the window and around it bound the common subsequence
+            bound = (least * np.where(norms > 0, norms, np.inf))[:, None]
             reach = np.arange(-REACH, scale + REACH)
-            for some in np.array_split(np.arange(len(w)), 1 + len(w) // 10_000):
-                at = w[some, None] * BLOCK + reach
-                inside = (at >= starts[text[some], None]) & (at < ends[text[some], None])
-                near = np.sort(np.where(inside, ids[np.clip(at, 0, len(ids) - 1)], len(self.terms)), axis=1)
-                hits = has[places[p[some]][:, None], near]
-                hits[:, 1:] &= near[:, 1:] != near[:, :-1]
-                hits = hits.sum(1)
-                for i in some[hits >= need[places[p[some]]]].tolist():
-                    found.setdefault((int(text[i]), int(places[p[i]])), []).append((float(cosines[w[i], p[i]] / norms[w[i]]), int(w[i]) * BLOCK, scale))
+            for column in range(0, len(places), COLUMNS):
+                cosines = windows @ vectors[:, column:column + COLUMNS]
+                w, p = np.nonzero(cosines >= bound)
+                for some in np.array_split(np.arange(len(w)), 1 + len(w) // 10_000):
+                    first, place = w[some] * BLOCK, places[column + p[some]]
+                    text = np.searchsorted(starts, first, "right") - 1
+                    at = first[:, None] + reach
+                    inside = (at >= starts[text, None]) & (at < ends[text, None])
+                    near = np.sort(np.where(inside, ids[np.clip(at, 0, len(ids) - 1)], len(self.terms)), axis=1)
+                    hits = self.cells[self._at(place[:, None], near)] & (near < len(self.terms))
+                    hits[:, 1:] &= near[:, 1:] != near[:, :-1]
+                    yield first, place, cosines[w[some], p[some]] / norms[w[some]], hits.sum(1) >= self.need[place], scale
+
+    def leaks(self, texts: list[str | None], first_only: bool = False) -> Iterator[tuple[int, object, float, float]]:
+        """(text, item, cosine, share of a passage's words in the common subsequence), each text and item at most once: of
+        the item's passages the one with the greatest share."""
+        found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+        for first, place, cosine, enough, scale in self.candidates(texts):
+            text = np.searchsorted(self.starts, first, "right") - 1
+            for i in np.flatnonzero(enough).tolist():
+                found.setdefault((int(text[i]), int(place[i])), []).append((float(cosine[i]), int(first[i]), scale))
+        ends = np.append(self.starts[1:], len(self.ids))
+        best: dict[tuple[int, object], tuple[float, float]] = {}
         told = set()
-        for (text, place), places_ in sorted(found.items()):
+        for (text, place), windows in sorted(found.items()):
             if first_only and text in told:
                 continue
-            item = self.items[place]
-            best = (0.0, 0.0)
-            for cosine, at, scale in places_:
-                reach = max(REACH, len(item.terms) - scale)
-                region = ids[max(starts[text], at - reach):min(ends[text], at + scale + reach)]
-                share = common_share(item, region)
-                best = max(best, (share, cosine))
-                if share == 1.0:
-                    break
-            if best[0] >= COMMON:
-                told.add(text)
-                yield text, item, best[1], best[0]
-
-
-def common_share(item: Item, region: np.ndarray) -> float:
-    """Share of the item's words in a longest common subsequence with the region; 0 where the answer is missing."""
-    n = len(item.terms)
-    masks = item.masks
+            passage = self.passages[place]
+            for cosine, at, scale in sorted(windows, reverse=True):
+                share = common_share(passage, self.ids[max(self.starts[text], at - REACH):min(ends[text], at + scale + REACH)])
+                if share >= COMMON:
+                    told.add(text)
+                    best[text, passage.key] = max(best.get((text, passage.key), (0.0, 0.0)), (share, cosine))
+                    if first_only or share == 1.0:
+                        break
+        for (text, key), (share, cosine) in best.items():
+            yield text, key, cosine, share
+
+
+def common_share(passage: Passage, region: np.ndarray) -> float:
+    """Share of the passage's words in a longest common subsequence with the region; 0 where the answer is missing."""
+    n, masks = len(passage.terms), passage.masks
     hits = [t for t in region.tolist() if t in masks]
     need = COMMON * n
-    if len(hits) < need or len(item.answer & set(hits)) < ANSWER * len(item.answer):
+    if len(hits) < need or len(passage.answer & set(hits)) < ANSWER * len(passage.answer):
         return 0.0
     row = full = (1 << n) - 1  # bit-parallel: zero bits count the subsequence's length
     for t in hits:
@@ -188,21 +207,17 @@ def common_share(item: Item, region: np.ndarray) -> float:
     return (n - row.bit_count()) / n
 
 
-def _items(rows: list[tuple], terms: dict[bytes, int]) -> list[Item]:
-    """The answer is the item's own if there is one, else the rarer half of its distinct words (set once idf is known)."""
-    return [Item(key, [terms[w] for w in tokens(text)], {terms[w] for w in tokens(answer) if w in terms}) for key, text, answer in rows]
-
-
 def fit_search(corpus: DataFrame, rows: list[tuple], text_col: str, rank: int = RANK, seed: int = 3) -> Search:
-    """rows: (key, text, answer or None) of at most ITEMS benchmark items; corpus: every passage of it counts."""
+    """rows: (key, text, answer or None) of all benchmark items; corpus: every passage of it counts."""
     words = sorted({w for _, text, answer in rows for w in tokens(text)})
     terms = {w: i for i, w in enumerate(words)}
     signs = signs_of(len(words), rank, seed)
-    held: Broadcast = corpus.sparkSession.sparkContext.broadcast((terms, signs))
+    held: Broadcast = corpus.sparkSession.sparkContext.broadcast(terms)
     long = SCALES[-1]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms_, signs_ = held.value
+        terms_ = held.value
+        signs_ = signs_of(len(terms_), rank, seed)
         seen, sums, count = np.zeros(len(terms_), np.int64), np.zeros((len(terms_), signs_.shape[1])), 0
         for batch in rows_of(batches, 64):
             ids, _ = _encode([t for t in batch.column(0).to_pylist() if t], terms_, long)
@@ -228,78 +243,75 @@ def fit_search(corpus: DataFrame, rows: list[tuple], text_col: str, rank: int =
         count += len(ids) // long
     idf = np.log((count + 1) / (seen + 1)) + 1e-3
     embed = np.append(idf[:, None] * _basis(idf, sums, signs[:-1]), np.zeros((1, rank)), axis=0).astype(np.float32)
-    items = _items(rows, terms)
+    passages: list[Passage] = []
     at_scale: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-    for place, item in enumerate(items):
-        if not item.answer and item.terms:
-            rare = sorted(set(item.terms), key=lambda t: (-idf[t], t))
-            item.answer = set(rare[:max(1, len(rare) // 2)])
-        step = SCALES[-1] // 2
-        for at in range(0, max(1, len(item.terms) - step), step):
-            part = item.terms[at:at + SCALES[-1]]
-            scale = next(s for s in SCALES if len(part) <= s)
+    for key, text, answer in rows:
+        own = [terms[w] for w in tokens(text)]
+        told = {terms[w] for w in tokens(answer) if w in terms}
+        for at in range(0, max(1, len(own) - STEP) if own else 0, STEP):
+            part = own[at:at + long]
+            rare = sorted(set(part), key=lambda t: (-idf[t], t))
             v = embed[part].sum(0)
             if (norm := np.linalg.norm(v)) > 0:
-                kept = at_scale.setdefault(scale, ([], []))
-                kept[0].append(place)
+                kept = at_scale.setdefault(next(s for s in SCALES if len(part) <= s), ([], []))
+                kept[0].append(len(passages))
                 kept[1].append(v / norm)
-    return Search(terms, embed, items, {s: (np.array(p), np.stack(v, axis=1)) for s, (p, v) in sorted(at_scale.items())})
+                passages.append(Passage(key, part, told or set(rare[:max(1, len(rare) // 2)])))
+    return Search(terms, embed, passages, {s: (np.array(p), np.stack(v, axis=1)) for s, (p, v) in sorted(at_scale.items())})
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str | None) -> Iterator[list[tuple]]:
-    """The benchmark's items, at most about ITEMS at a time."""
+def _rows(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str | None) -> list[tuple]:
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("k"), F.col(text_col).cast("string").alias("t"), answer.alias("a"))
-    parts = max(1, -(-rows.count() // ITEMS))
-    for i in range(parts):
-        got = rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(parts)) == i).distinct().collect()
-        yield sorted(((r.k, r.t, r.a) for r in got), key=lambda r: (str(r[0]), r[1]))
+    got = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("k"), F.col(text_col).cast("string").alias("t"), answer.alias("a")).distinct().collect()
+    return sorted(((r.k, r.t, r.a) for r in got), key=lambda r: (str(r[0]), r[1], r[2] or ""))
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
-    """doc_id, item_id, cosine and common (share of the item's words in order) for every document and item it leaks.
-
-    The benchmark is a query set: searched against all documents in blocks of items. Null texts and items without words
-    leak nothing; repeated documents each give their rows; equal items are searched once for each id. Empty tables:
-    empty result."""
+    """doc_id, item_id, cosine and common for every document and item it leaks: of the item's passages the one of which the
+    greatest share of words is there in order, and that share.
+
+    An item of up to the longest scale's words is one passage; longer ones are judged by passages, so that a part of them
+    is a leak. The answer is answer_col's if that has words of the benchmark, else the rarer half of a passage's words. The
+    benchmark is a query set: searched against all documents. Null texts and items without words leak nothing; repeated
+    documents each give their rows; repeated items count once, equal texts of several ids once for each. Ids are of any
+    type and may be null. Columns that aren't named are ignored. Empty tables: empty result."""
     spark = documents.sparkSession
-    kinds = documents.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, cosine double, common double"
-    out = spark.createDataFrame([], schema)
+    item = benchmark.schema[item_col].dataType
+    schema = f"doc_id {documents.schema[id_col].dataType.simpleString()}, item_id {item.simpleString()}, cosine double, common double"
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    for rows in _blocks(benchmark, item_col, item_text_col, answer_col):
-        held = spark.sparkContext.broadcast(fit_search(source, rows, "text"))
-
-        def searched(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
-            for batch in rows_of(batches, 64):
-                got = list(held.value.leaks(batch.column(1).to_pylist()))
-                key = batch.column(0).take(pa.array([g[0] for g in got], pa.int64()))
-                cols = [key, pa.array([g[1].key for g in got]), pa.array([g[2] for g in got], pa.float64()), pa.array([g[3] for g in got], pa.float64())]
-                if got:
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "cosine", "common"])
-
-        out = out.unionAll(source.mapInArrow(searched, schema))
-    return out
+    rows, kind = _rows(benchmark, item_col, item_text_col, answer_col), to_arrow_type(item)
+    if not rows:
+        return spark.createDataFrame([], schema)
+    held = spark.sparkContext.broadcast(fit_search(source, rows, "text"))
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 64):
+            if got := list(held.value.leaks(batch.column(1).to_pylist())):
+                cols = [batch.column(0).take(pa.array([g[0] for g in got], pa.int64())), pa.array([g[1] for g in got], kind),
+                        pa.array([g[2] for g in got], pa.float64()), pa.array([g[3] for g in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "cosine", "common"])
+
+    return source.mapInArrow(searched, schema)
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
     """documents without those that leak any item; a decision by row, so that texts aren't shuffled."""
-    out, src = documents, tmp("text")
-    for rows in _blocks(benchmark, item_col, item_text_col, answer_col):
-        held = documents.sparkSession.sparkContext.broadcast(fit_search(documents, rows, text_col))
+    src, rows = tmp("text"), _rows(benchmark, item_col, item_text_col, answer_col)
+    if not rows:
+        return documents
+    held = documents.sparkSession.sparkContext.broadcast(fit_search(documents, rows, text_col))
 
-        def clean(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
-            for batch in rows_of(batches, 64):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[g[0] for g in held.value.leaks(batch.column(batch.num_columns - 1).to_pylist(), first_only=True)]] = False
-                yield batch.drop_columns([src]).filter(pa.array(keep))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 64):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[g[0] for g in held.value.leaks(batch.column(batch.num_columns - 1).to_pylist(), first_only=True)]] = False
+            yield batch.drop_columns([src]).filter(pa.array(keep))
 
-        out = out.select("*", F.col(text_col).cast("string").alias(src)).mapInArrow(clean, documents.schema)
-    return out
+    return documents.select("*", F.col(text_col).cast("string").alias(src)).mapInArrow(clean, documents.schema)
 
 
 def op9_decontamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Leaks of the benchmark in all documents."""
+    """Leaks of the benchmark in all documents, as find_leaks tells them."""
     return find_leaks(documents, benchmark)
