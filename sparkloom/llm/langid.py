@@ -21,6 +21,8 @@ from sparkloom.llm.common import crc32_mod, rows_of, tmp
 DIM = 1024
 SEED = 20_011
 UNKNOWN = "und"
+KEEP = 3 / DIM**0.5  # three standard deviations of the cosine of unrelated texts
+EVIDENCE = 20  # distinct trigrams of a text that may be rejected
 SPACE = 32
 TABLE = 2**21  # trigrams of alphabets up to its cube root are counted in a table, if the text is long enough for that
 CACHED = 32_768  # trigram vectors that a worker keeps
@@ -185,22 +187,25 @@ def fit_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return Profiles(langs, sums / np.where(norms > 0, norms, 1.0), dim, seed)
 
 
-def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", keep: float | None = None) -> DataFrame:
+def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", keep: float | None = None, evidence: int = EVIDENCE) -> DataFrame:
     """df with lang_pred and score (cosine to the chosen language's prototype, 0 to 1).
 
-    Null text, or one without a letter: und, 0. With keep, rows that are und or score below keep go. Empty tables stay
-    empty; columns of df named lang_pred or score are replaced."""
+    Null text, or one without a letter: und, 0. Of languages equally near the first by code point is chosen. With keep,
+    rows that are und go, and those that have evidence or more distinct trigrams and still score below keep: a text of
+    fewer tells too little to be rejected. Repeated rows get equal results; texts are read whole. Empty tables stay empty;
+    columns of df named lang_pred or score are replaced."""
     own = [c for c in df.columns if c not in ("lang_pred", "score")]
     src, schema = tmp("text"), df.select(*own).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(profiles.dim, profiles.seed)
         for batch in rows_of(batches):
-            got = [profiles.nearest(enc.count(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            counts = [enc.count(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            got = [profiles.nearest(c) for c in counts]
             cols = [*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             out = pa.RecordBatch.from_arrays(cols, names=[*own, "lang_pred", "score"])
             if keep is not None:
-                out = out.filter(pa.array([g[0] != UNKNOWN and g[1] >= keep for g in got], pa.bool_()))
+                out = out.filter(pa.array([g[0] != UNKNOWN and (g[1] >= keep or len(c[0]) < evidence) for g, c in zip(got, counts, strict=True)], pa.bool_()))
             yield out
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
@@ -208,7 +213,8 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", keep: fl
 
 
 def op10_language_id(documents: DataFrame) -> DataFrame:
-    """The contract's result: profiles of the documents that aren't held out, applied to all."""
+    """The contract's result: profiles of the documents that aren't held out, applied to all. Null, empty and very long
+    texts, ties, repeated rows and empty tables as in identify."""
     held_out = crc32_mod("doc_id", 5) == 0
     profiles = fit_profiles(documents.where(~held_out))
     return identify(documents.select("doc_id", held_out.alias("held_out"), "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
