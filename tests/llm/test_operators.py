@@ -102,10 +102,27 @@ def test_simhash_finds_links_across_blocks(spark):
     values = [rng.getrandbits(63) for _ in range(40)]
     values += [v ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for v in values for _ in range(2)]
     prints = spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "doc_id long, text_hash long, fp long")
-    got = {r.fp: r["first"].doc_id for r in simhash.components(prints).collect()}
+    for shard in (simhash.SHARD, 3, 0):  # none, some, all shards dealt again
+        got = {r.fp: r["first"].doc_id for r in simhash.components(prints, shard=shard).collect()}
+        assert [got[v] for v in values] == slow_components(list(enumerate(values)))
+
+
+def test_a_shard_that_is_dealt_again_loses_no_link(spark):
+    rng = random.Random(10)
+    values = sorted({0x1234_5678 << 32 | rng.getrandbits(9) << 7 * rng.randrange(4) for _ in range(250)})  # agree on two blocks
+    prints = spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "doc_id long, text_hash long, fp long")
+    dealt = simhash._dealt(prints.select("fp"), 20)
+    assert dealt.groupBy("shard").count().agg({"count": "max"}).first()[0] < len(values)
+    got = {r.fp: r["first"].doc_id for r in simhash.components(prints, shard=20).collect()}
     assert [got[v] for v in values] == slow_components(list(enumerate(values)))
 
 
+def test_simhash_of_frequent_fingerprints(spark, docs, monkeypatch):
+    whole = collections.Counter(map(tuple, simhash.simhash_near_dups(docs).collect()))
+    monkeypatch.setattr(simhash, "HOT", 3)
+    assert collections.Counter(map(tuple, simhash.simhash_near_dups(docs).collect())) == whole
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(50, 50), (3, 2)]
     got = dict(map(tuple, component_roots(spark.createDataFrame(path, "u long, v long")).collect()))
@@ -148,6 +165,38 @@ def test_toxicity_learns_words_and_ignores_swapped_identities(spark, empty):
     assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(empty, marks)).count() == docs.count()
 
 
+def test_neutral_mentions_move_no_score(spark):
+    """A group named in toxic texts alone: swaps of the labelled texts take the blame from it, at no cost elsewhere."""
+    rng, data, labels = random.Random(5), [], []
+    for i in range(900):
+        words, bad = rng.choices(EN.split(), k=15), i % 3 == 0
+        if bad:
+            words.insert(3, rng.choice(["scumbag", "moronic", "vermin"]) if rng.random() < 0.8 else "grey")
+            words.insert(5, "refugee" if rng.random() < 0.7 else "grey")
+        data.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    docs, marks = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model, free = (toxicity.fit_toxicity(docs, marks, groups=g) for g in (toxicity.IDENTITY_TERMS, ()))
+    neutral = spark.createDataFrame([(f"the {w} is reading a book by the window",) for w in ("refugee", "citizen", "immigrant")] + [("no one",), (None,)], "text string")
+    before, after = (toxicity.score_gaps(neutral, m).first() for m in (free, model))
+    assert before.texts == after.texts == 3 and before.pairs >= 9
+    assert after.greatest_gap < before.greatest_gap / 4
+    scored = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert np.mean([(scored[i] >= 0.5) == y for i, y in labels]) > 0.9
+    assert toxicity.score_gaps(neutral.limit(0), model).first().asDict() == {"texts": 0, "pairs": 0, "mean_gap": None, "greatest_gap": None}
+
+
+def test_toxicity_takes_odd_rows(spark, docs, empty):
+    marks = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (3, 0), (3, 1)], "doc_id long, toxic int")
+    twice = docs.unionByName(docs)
+    model, again = toxicity.fit_toxicity(docs, marks), toxicity.fit_toxicity(twice.repartition(7), marks.unionByName(marks))
+    got = {(r.doc_id, r.score) for r in toxicity.score_toxicity(docs, model).collect()}
+    assert got == {(r.doc_id, r.score) for r in toxicity.score_toxicity(twice, again).collect()}
+    out = toxicity.score_toxicity(docs, model)
+    assert {*out.columns} == {*docs.columns} - {"text"} | {"predicted"} and out.count() == len(rows())
+    assert toxicity.op2_toxicity(empty, marks).count() == 0
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -169,17 +218,48 @@ def test_secret_patterns_equal_their_definition(spark):
         assert [x for x in row["spans"].split(",") if not x.startswith("random") and x] == (written.split(",") if written else [])
 
 
+def reported(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["spans"] for r in sorted(dicts(secrets.scan_secrets(df)), key=lambda r: r["doc_id"])]
+
+
 def test_battery_tells_random_tokens_from_words(spark):
     rng = random.Random(1)
-    letters = secrets.ENCODINGS["base62"]
-    keys = ["".join(rng.choices(letters, k=40)) for _ in range(80)]
-    keys = [k for k in keys if any(c.isdigit() for c in k)]
+    keys = ["".join(rng.choices(secrets.ENCODINGS["base62"], k=40)) for _ in range(80)]
     names = [f"{'-'.join(rng.choices(EN.split() + ['settings', 'profile', 'interface', 'documentation'], k=9))}-{rng.randint(1, 99)}" for _ in range(80)]
-    texts = [f"see {k} here" for k in keys] + [f"see {n} here" for n in names]
-    got = {r["doc_id"]: r["spans"] for r in dicts(secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
-    hits = [bool(got[i]) for i in range(len(texts))]
-    assert np.mean(hits[:len(keys)]) > 0.9 and np.mean(hits[len(keys):]) < 0.1
-    assert got[0] == f"random:4:{4 + len(keys[0])}"
+    got = reported(spark, [f"see {k} here" for k in keys] + [f"see {n} here" for n in names])
+    assert np.mean([bool(x) for x in got[:80]]) > 0.9 and np.mean([bool(x) for x in got[80:]]) < 0.1
+    assert f"random:4:{4 + len(keys[0])}" in got[:80]
+
+
+@pytest.mark.parametrize("length", [20, 32, 64])
+def test_false_discoveries_are_controlled_in_each_encoding_and_length(spark, length):
+    """Planted keys beside six times as many ordinary identifiers: few of those reported are ordinary."""
+    rng, texts, key = random.Random(length), [], []
+    words = [w for w in secrets.REFERENCE.split() if w.isalpha()][::2] + FR.split() + EN.split()
+    made = {"small": str, "capitals": str.upper, "letters": str.title, "base62": lambda w: w.title() + rng.choice(["", "", "7", "42"])}
+    for name, style in made.items():
+        for i in range(350):
+            if i % 7 == 0:
+                token = "".join(rng.choices(secrets.ENCODINGS[name], k=length))
+            else:
+                token = ""
+                while len(token) < length:
+                    token += style("".join(ch for ch in rng.choice(words) if ch.isascii()))
+            texts.append(f"of {token} in")
+            key.append(i % 7 == 0)
+    got = np.array([bool(x) for x in reported(spark, texts)])
+    key = np.array(key)
+    assert (got & ~key).sum() <= 0.1 * max(1, got.sum())
+    assert (got & key).sum() / key.sum() > {20: 0.5, 32: 0.8, 64: 0.9}[length]
+
+
+def test_secret_scan_takes_odd_rows(spark, docs, empty):
+    got = dicts(secrets.scan_secrets(docs))
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in rows())
+    assert set(got[0]) == {*docs.columns} - {"text"} | {"n_assign", "n_access", "n_hex", "base_sha256", "spans"}
+    assert secrets.scan_secrets(empty).count() == 0
+    assert {r["spans"] for r in got if r["doc_id"] == 87} == {""}
 
 
 def test_keys_of_letters_and_keys_in_paths_are_tested(spark):
@@ -195,19 +275,27 @@ def test_keys_of_letters_and_keys_in_paths_are_tested(spark):
         spans.append("random:25:57")
     got = {r["doc_id"]: r["spans"] for r in dicts(secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
     hits = np.array([spans[i] in got[i].split(",") for i in range(160)]).reshape(4, 40).mean(1)
-    assert (hits > 0.85).all()
+    assert (hits >= 0.7).all() and hits.mean() > 0.85
 
 
-def test_p_values_are_uniform_for_random_symbols():
-    rng = random.Random(5)
-    p = np.array([secrets.battery("".join(rng.choices(secrets.ENCODINGS["hex"], k=48)), "hex") for _ in range(1500)])
+def test_scores_of_random_symbols_are_p_values():
+    v = np.random.default_rng(5).integers(0, 16, (1500, 48))
+    p = 10 ** secrets.battery(v, 16)
     assert abs((p < 0.5).mean() - 0.5) < 0.1 and (p < 0.05).mean() < 0.1
     assert secrets.chi2_sf(3.841, 1) == pytest.approx(0.05, abs=1e-4) and secrets.chi2_sf(18.307, 10) == pytest.approx(0.05, abs=1e-4)
+    assert np.exp(secrets._log_sf(np.array([3.841, 500.0]), 1))[0] == pytest.approx(0.05, abs=1e-4)
 
 
 def test_cutoffs_are_benjamini_hochberg():
-    assert secrets.cutoffs({"a": {400: 5, 10: 5}}, 0.05) == {"a": 400}
-    assert secrets.cutoffs({"a": {10: 100}}, 0.05) == {"a": secrets.P_BINS + 1}
+    rng = random.Random(7)
+    for _ in range(50):
+        null = collections.Counter(min(600, int(rng.expovariate(0.01))) for _ in range(rng.randint(0, 400)))
+        tokens = [rng.randint(0, 40) for _ in range(rng.randint(0, 30))] + [rng.randint(0, 600) for _ in range(rng.randint(1, 60))]
+        p = lambda b: (1 + sum(n for x, n in null.items() if x <= b)) / (1 + sum(null.values()))
+        ordered = sorted(p(b) for b in tokens)
+        last = max((x for i, x in enumerate(ordered, 1) if x <= 0.05 * i / len(tokens)), default=-1)
+        cut = secrets.cutoffs({"a": collections.Counter(tokens)}, {"a": null}, 0.05)["a"]
+        assert [b <= cut for b in tokens] == [p(b) <= last and b <= secrets.REJECTED for b in tokens]
 
 
 # 4 -------------------------------------------------------------------------------------------------------------------
@@ -224,29 +312,30 @@ def edits(a, b):
 
 def test_line_dedup_equals_all_pairs(spark, empty):
     rng = random.Random(6)
-    base = [" ".join(rng.choices(EN.split(), k=rng.randint(3, 9))) for _ in range(25)]
+    base = [" ".join(rng.choices(EN.split(), k=rng.randint(1, 9)))[:rng.choice([3, 4, 5, 6, 12, 90])] for _ in range(40)]
+    base += [EN * 30 + "x", "a", "b", "ab", "éé😀é", "éé😀éé"]
     texts = []
-    for _ in range(60):
+    for _ in range(90):
         lines = []
         for _ in range(rng.randint(1, 5)):
-            w = rng.choice(base).split()
-            if rng.random() < 0.5:
+            w = list(rng.choice(base))
+            if rng.random() < 0.6:
                 i = rng.randrange(len(w))
-                w[i:i + 1] = rng.choice([[], ["zzz"], [w[i], "new"], [w[i].upper()]])
-            lines.append(rng.choice(["", " ", "\t"]) + " ".join(w))
+                w[i:i + 1] = rng.choice([[], ["z"], [w[i], "n"], [w[i].upper()], ["😀"], ["y", "z"]])
+            lines.append(rng.choice(["", " ", "\t"]) + "".join(w))
         texts.append("\n".join([*lines, ""]))
     data = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (200, None), (201, "")]
     seen, expected = [], collections.Counter()
+    near = lambda a, b: abs(len(a) - len(b)) <= 1 and max(len(a), len(b)) >= 5 and edits(a, b) <= 1
     for i, t in data[:-3] + data[-2:] + data[-3:-2]:
         kept = []
         for line in (t or "").split("\n"):
             n = line.strip(linededup.BLANKS).lower()
-            w = n.split(" ")
             if not n:
                 kept.append(line)
                 continue
-            match = any(n == " ".join(o) or min(len(w), len(o)) >= 5 and edits(w, o) <= 1 for o in seen)
-            seen.append(w)
+            match = any(n == o or near(n, o) for o in seen)
+            seen.append(n)
             if not match:
                 kept.append(line)
         expected[i, None if t is None else "\n".join(kept), len((t or "").split("\n")) if t is not None else 0, len(kept) if t is not None else 0] += 1
@@ -256,6 +345,13 @@ def test_line_dedup_equals_all_pairs(spark, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_letters_in_short_lines(spark):
+    """One changed letter in a line of four words goes; another word in a line of five stays."""
+    lines = ["the red fox ran", "the red fax ran", "the red fox rang", "one word of five here", "one word of four here"]
+    got = linededup.dedup_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).first()
+    assert got.text.split("\n") == [lines[0], lines[3], lines[4]]
+
+
 def test_line_dedup_takes_odd_rows(spark, docs):
     got = linededup.dedup_lines(docs)
     assert got.count() == len(rows()) and got.schema["lines"].dataType.simpleString() == "bigint"
@@ -481,15 +577,16 @@ def test_gains_are_differences_of_the_likelihood():
     of = np.append(rng.integers(0, 5, 29), 5)
     one = np.eye(6)[of]
     n = one.T @ pairs @ one
-    for s in range(29):
-        r, l, own, a = pairs[s] @ one, pairs[:, s] @ one, pairs[s, s], of[s]  # noqa: E741
-        r[a] -= own
-        l[a] -= own
+    for some in (range(29), [3], [28, 0, 7]):
+        r, l, own, a = pairs[some] @ one, pairs[:, some].T @ one, pairs[some, some], of[some]  # noqa: E741
+        r[np.arange(len(some)), a] -= own
+        l[np.arange(len(some)), a] -= own
         gain = brown._gains(n, a, r, l, own)
-        for b in range(6):
-            other = of.copy()
-            other[s] = b
-            assert gain[b] - gain[a] == pytest.approx(likelihood(pairs, other) - likelihood(pairs, of), abs=1e-8)
+        for i, s in enumerate(some):
+            for b in range(6):
+                other = of.copy()
+                other[s] = b
+                assert gain[i, b] - gain[i, a[i]] == pytest.approx(likelihood(pairs, other) - likelihood(pairs, of), abs=1e-8)
 
 
 # 8 -------------------------------------------------------------------------------------------------------------------
@@ -500,7 +597,7 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     x = rng.normal(size=(3000, 16)).astype(np.float32)
     x[100:900] = x[100]  # a third share one vector
     data = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    odd = [(5000, None, 1), (5020, [0.0] * 16, 1), (5040, [float("nan")] * 16, 1), (5060, [float("inf")] + [1.0] * 15, 1), (5080, [1.0], 1), (None, [1.0] * 16, 1), (6000, [None] + [1.0] * 15, 1)]
+    odd = [(5000, None, 1), (5020, [0.0] * 16, 1), (5040, [float("nan")] * 16, 1), (5060, [float("inf")] + [1.0] * 15, 1), (None, [1.0] * 16, 1), (6000, [None] + [1.0] * 15, 1)]
     df = spark.createDataFrame([*data, *odd, data[20], data[21]], "vec_id long, embedding array<float>, rank int").repartition(5)
     got = ann.op8_nearest(df).toPandas()
     assert sorted(got.query_id.unique()) == list(range(0, 3000, 20))
@@ -536,6 +633,39 @@ def test_nearest_widens_for_a_query_in_a_small_cell(spark):
     assert {*range(3201, 3212)} <= set(got[got.query_id == 3200].vec_id)
 
 
+def test_nearest_of_several_widths(spark):
+    rng = np.random.default_rng(8)
+    x = [rng.normal(size=6 if i % 10 else (3, 9)[i // 10 % 2]).tolist() for i in range(200)]
+    got = ann.op8_nearest(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")).toPandas()
+    hit = 0
+    for q, part in got.groupby("query_id"):
+        s = {i: sum(a * b for a, b in zip(x[q], v, strict=False)) for i, v in enumerate(x) if i != q}
+        order = sorted(s, key=lambda i: (-s[i], i))[:20]
+        assert len(part) == 20 and all(abs(r.score - s[r.vec_id]) < 1e-12 for r in part.itertuples())
+        hit += len(set(order) & set(part.vec_id))
+    assert got.query_id.nunique() == 10 and hit >= 0.9 * 200
+
+
+def test_cells_grow_and_probes_are_calibrated_for_the_table():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(300, 24)) * 2
+    x = (centres[rng.integers(0, 300, 40_000)] + rng.normal(size=(40_000, 24))).astype(np.float32)
+    assert [ann.cells_for(n) for n in (0, 21, 2_000, 50_000, 500_000, 10**12)] == [1, 1, 32, 256, 512, 65_536]
+    index = ann.fit_index(x[:8_000], 500_000, 20)  # two levels
+    assert len(index.coarse) == 2 ** 4 or len(index.coarse) == 2 ** 5
+    cells = index.cells(x)
+    exact = ann._nearest(x, index.centres)
+    assert (cells == exact).mean() > 0.8
+    sizes = np.bincount(cells, minlength=len(index.centres))
+    q = x[:200].astype(float)
+    near = q @ x.T.astype(float)
+    near[np.arange(200), np.arange(200)] = -np.inf
+    true = np.argsort(-near, axis=1)[:, :2]  # as near as the 20 of a table of ten times these rows
+    probed = list(index.probed(q, sizes, 21))
+    assert np.mean([np.isin(cells[t], p).mean() for t, p in zip(true, probed, strict=True)]) > 0.93
+    assert index.probes < len(index.centres) / 4
+
+
 def test_shards_of_cells_hold_bounded_rows():
     sizes = np.array([5, 0, 100, 7, 7, 3, 250])
     s = ann.Shards.pack(sizes, 20)
@@ -587,7 +717,7 @@ def test_common_share_is_the_longest_common_subsequence():
 
     for _ in range(200):
         a, b = ([rng.randrange(6) for _ in range(rng.randint(1, 40))] for _ in range(2))
-        item = decontam.Item(0, a, set())
+        item = decontam.Passage(0, a, set())
         got = decontam.common_share(item, np.array(b))
         assert got in (0.0, slow(a, b) / len(a)) and (got or slow(a, b) < decontam.COMMON * len(a) or sum(x in a for x in b) < decontam.COMMON * len(a))
 
@@ -620,6 +750,21 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_texts_like_no_profile_go_if_they_tell_enough(spark, docs):
+    strange = ["Το γρήγορο καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί", "Быстрая коричневая лиса прыгает через ленивую собаку", "ζ", "the old fox", "le renard", "x", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(strange)], "score long, text string")
+    profiles = langid.fit_profiles(docs)
+    kept = langid.identify(df, profiles, keep=langid.KEEP)
+    assert {r.text for r in kept.collect()} == {*strange[2:6]} and kept.columns == ["text", "lang_pred", "score"]
+    own = langid.identify(docs, profiles, keep=langid.KEEP)
+    assert own.count() == sum(any(ch.isalpha() for ch in r[1] or "") for r in rows())
+
+
+def test_language_ties_go_to_the_first(spark):
+    same = spark.createDataFrame([(1, EN, "xx"), (2, EN, "aa"), (3, EN, None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identify(same, langid.fit_profiles(same)).collect()} == {"aa"}
+
+
 def test_bundles_are_sums_of_bound_letters():
     e = langid.Encoder(64, 1)
     codes, counts = e.count("abc abc")
