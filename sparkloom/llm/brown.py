@@ -32,10 +32,10 @@ from sparkloom.llm.common import crc32_mod, durable, rows_of, text_or_empty, tmp
 
 HEAD = 200_000  # words that each task may hold
 SINGLE = 1_000  # most frequent words, clustered on the driver before the rounds over all words
-LEAST_CLASSES, MOST_CLASSES = 16, 256
+LEAST_CLASSES, MOST_CLASSES = 64, 256
 ENDINGS = 4_096  # groups of the words beyond the head
 LAST = 3  # bytes of an ending
-ROUNDS = 4  # over all words, at most
+ROUNDS = 3  # over all words, at most
 RISE = 0.003  # of the likelihood per token (natural log), below which the rounds end
 DISCOUNT = 0.5
 PRIOR = 2.0  # weight of a class's own frequency in its transitions
@@ -44,8 +44,8 @@ BINS = 8  # of counts, for each doubling
 
 
 def classes_for(words: int) -> int:
-    """About a quarter of the vocabulary's square root, a power of two."""
-    return int(min(MOST_CLASSES, max(LEAST_CLASSES, 2 ** round(math.log2(words + 1) / 2 - 2))))
+    """About an eighth of the vocabulary's square root, a power of two."""
+    return int(min(MOST_CLASSES, max(LEAST_CLASSES, 2 ** round(math.log2(words + 1) / 2 - 3))))
 
 
 @dataclass
@@ -232,7 +232,14 @@ def _placed(ids: DataFrame, of: np.ndarray, follow: np.ndarray) -> np.ndarray:
             both, at = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
             return both, np.bincount(at, np.concatenate([ns, n]), len(both)).astype(np.int64)
 
-        send = lambda: pa.RecordBatch.from_arrays([pa.array((keys // slots).astype(np.int32)), pa.array((keys % slots).astype(np.int16)), pa.array(ns)], names=["word", "slot", "n"])
+        def send() -> pa.RecordBatch:
+            """A row a symbol: the slots of its neighbours and their numbers."""
+            word = keys // slots
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.empty(0, np.int64)
+            offsets = pa.array(np.append(starts, len(word)).astype(np.int32))
+            listed = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((keys % slots).astype(np.int16), ns.astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(word[starts].astype(np.int32)), *listed], names=["word", "slot", "n"])
+
         for batch in batches:
             for raw in batch.column(0):
                 s = np.frombuffer(raw.as_buffer(), np.int32)
@@ -252,26 +259,42 @@ def _placed(ids: DataFrame, of: np.ndarray, follow: np.ndarray) -> np.ndarray:
             keys, ns = summed()
         yield send()
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(keys: np.ndarray, ns: np.ndarray) -> pa.RecordBatch:
+        """keys: symbol x slots + slot, in order, for whole symbols."""
         of_, n = held.value
-        for batch in rows_of(batches):
-            near = batch.column(1)
-            starts, flat = near.offsets.to_numpy().astype(np.int64), near.values
-            slot, count = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            words, at = batch.column(0).to_numpy(), 0
-            out = np.empty(len(words), np.int32)
-            while at < len(words):  # as many words as have some thousand neighbours
-                upto = max(at + 1, int(np.searchsorted(starts, starts[at] + 4_096, "right")) - 1)
-                v = np.zeros((upto - at, slots))
-                v[np.repeat(np.arange(upto - at), np.diff(starts[at:upto + 1])), slot[starts[at]:starts[upto]]] = count[starts[at]:starts[upto]]
-                a = of_[words[at:upto]].astype(np.int64)
-                out[at:upto] = _best(_gains(n, a, v[:, :classes], v[:, classes:-1], v[:, -1]), a, classes - 1, cost)
-                at = upto
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["word", "class"])
+        word = keys // slots
+        starts = np.append(np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))), len(word)) if len(word) else np.zeros(1, np.int64)
+        words, at = word[starts[:-1]], 0
+        out = np.empty(len(words), np.int32)
+        while at < len(words):  # as many symbols as have some thousand neighbours
+            upto = max(at + 1, int(np.searchsorted(starts, starts[at] + 4_096, "right")) - 1)
+            v = np.zeros((upto - at, slots))
+            v[np.repeat(np.arange(upto - at), np.diff(starts[at:upto + 1])), keys[starts[at]:starts[upto]] % slots] = ns[starts[at]:starts[upto]]
+            a = of_[words[at:upto]].astype(np.int64)
+            out[at:upto] = _best(_gains(n, a, v[:, :classes], v[:, classes:-1], v[:, -1]), a, classes - 1, cost)
+            at = upto
+        return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), pa.array(out)], names=["word", "class"])
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by symbol; the last one of a batch may go on in the next. What is held is a batch and one symbol."""
+        keys, ns = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slot, n = batch.column(1), batch.column(2)
+            sizes = np.diff(slot.offsets.to_numpy())
+            fresh = np.repeat(batch.column(0).to_numpy().astype(np.int64), sizes) * slots + slot.flatten().to_numpy()
+            keys, at = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
+            ns = np.bincount(at, np.concatenate([ns, n.flatten().to_numpy()]), len(keys)).astype(np.int64)
+            whole = int(np.searchsorted(keys, keys[-1] // slots * slots))
+            if whole:
+                yield best(keys[:whole], ns[:whole])
+                keys, ns = keys[whole:], ns[whole:]
+        yield best(keys, ns)
 
     cost = math.log(classes)
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes make much work here
-    near = ids.mapInArrow(counted, "word int, slot short, n long").repartition(parts, "word").groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("near"))
+    near = ids.mapInArrow(counted, "word int, slot array<short>, n array<int>").repartition(parts, "word").sortWithinPartitions("word")
     got = near.mapInArrow(chosen, "word int, class int").toArrow()
     out = of.copy()
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
