@@ -157,15 +157,19 @@ class Search:
             for column in range(0, len(places), COLUMNS):
                 cosines = windows @ vectors[:, column:column + COLUMNS]
                 w, p = np.nonzero(cosines >= bound)
-                for some in np.array_split(np.arange(len(w)), 1 + len(w) // 10_000):
+                for some in np.array_split(np.arange(len(w)), 1 + len(w) // 1_000):
                     first, place = w[some] * BLOCK, places[column + p[some]]
                     text = np.searchsorted(starts, first, "right") - 1
                     at = first[:, None] + reach
                     inside = (at >= starts[text, None]) & (at < ends[text, None])
-                    near = np.sort(np.where(inside, ids[np.clip(at, 0, len(ids) - 1)], len(self.terms)), axis=1)
+                    near = np.where(inside, ids[np.clip(at, 0, len(ids) - 1)], len(self.terms))
                     hits = self.cells[self._at(place[:, None], near)] & (near < len(self.terms))
-                    hits[:, 1:] &= near[:, 1:] != near[:, :-1]
-                    yield first, place, cosines[w[some], p[some]] / norms[w[some]], hits.sum(1) >= self.need[place], scale
+                    enough = hits.sum(1) >= self.need[place]  # repeats counted; without them only for the few that are left
+                    left = np.flatnonzero(enough)
+                    own = np.sort(np.where(hits[left], near[left], len(self.terms)), axis=1)
+                    distinct = (own < len(self.terms)) & np.concatenate((np.ones((len(left), 1), bool), own[:, 1:] != own[:, :-1]), axis=1)
+                    enough[left] = distinct.sum(1) >= self.need[place[left]]
+                    yield first, place, cosines[w[some], p[some]] / norms[w[some]], enough, scale
 
     def leaks(self, texts: list[str | None], first_only: bool = False) -> Iterator[tuple[int, object, float, float]]:
         """(text, item, cosine, share of a passage's words in the common subsequence), each text and item at most once: of
