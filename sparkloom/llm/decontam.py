@@ -108,6 +108,16 @@ def signs_of(terms: int, rank: int, seed: int) -> np.ndarray:
     return r
 
 
+def _windows(sums: dict[int, np.ndarray], k: int) -> np.ndarray:
+    """Sums of k rows from each row of sums[1] on (of what there is at the end), made of those of fewer rows."""
+    if k not in sums:
+        top = 1 << (k - 1).bit_length() - 1
+        out, rest = _windows(sums, top).copy(), _windows(sums, k - top)
+        out[:-top] += rest[top:]
+        sums[k] = out
+    return sums[k]
+
+
 @dataclass
 class Search:
     """What a task needs to compare texts with the benchmark's passages."""
@@ -143,13 +153,11 @@ class Search:
             return
         ends = np.append(starts[1:], len(ids))
         blocks = self.embed[ids].reshape(len(ids) // BLOCK, BLOCK, -1).sum(1)
-        windows, wide = blocks.copy(), BLOCK
+        sums = {1: blocks}
         for scale, least in zip(SCALES, cosine, strict=True):
-            for more in range(wide // BLOCK, scale // BLOCK):
-                windows[:-more or None] += blocks[more:]
-            wide = scale
             if scale not in self.scales:
                 continue
+            windows = _windows(sums, scale // BLOCK)
             places, vectors = self.scales[scale]
             norms = np.sqrt(np.einsum("ij,ij->i", windows, windows))
             bound = (least * np.where(norms > 0, norms, np.inf))[:, None]

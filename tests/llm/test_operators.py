@@ -722,6 +722,29 @@ def test_common_share_is_the_longest_common_subsequence():
         assert got in (0.0, slow(a, b) / len(a)) and (got or slow(a, b) < decontam.COMMON * len(a) or sum(x in a for x in b) < decontam.COMMON * len(a))
 
 
+def test_windows_are_sums_of_rows():
+    x = np.random.default_rng(1).integers(0, 9, (23, 3)).astype(float)
+    for n in (23, 5, 1, 0):
+        sums = {1: x[:n]}
+        for k in (1, 4, 6, 8, 12, 16):
+            assert np.array_equal(decontam._windows(sums, k), np.array([x[i:min(n, i + k)].sum(0) for i in range(n)]).reshape(n, 3))
+
+
+def test_items_of_any_id_and_of_several_passages(spark):
+    rng = random.Random(15)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ne", "pu") for b in ("ra", "so", "ti", "vu", "xe") for c in ("n", "s", "t", "l")]
+    long = " ".join(rng.choices(words, k=200))
+    part = " ".join(long.split()[70:140])
+    texts = [f"so it was {part} and that was all", "nothing of that kind", long, part, part]
+    for kind, ids in (("int", [1, None]), ("string", ["x", None]), ("smallint", [3, 4])):
+        bench = spark.createDataFrame([(ids[0], long, 0), (ids[1], long, 0), (ids[0], long, 1)], f"item_id {kind}, text string, doc_id int")
+        docs = spark.createDataFrame([(str(i), t, 0.5) for i, t in enumerate(texts)], "doc_id string, text string, cosine double")
+        got = decontam.find_leaks(docs, bench)
+        assert got.schema["item_id"].dataType.simpleString() == kind.replace("smallint", "smallint")
+        assert collections.Counter((r.doc_id, r.item_id) for r in got.collect()) == collections.Counter((d, i) for d in "0234" for i in ids)
+        assert [r.doc_id for r in decontam.drop_leaks(docs, bench).collect()] == ["1"]
+
+
 def test_sketch_is_the_gram_matrix_times_the_signs():
     rng = np.random.default_rng(14)
     ids, signs = rng.integers(0, 11, 640).astype(np.int32), decontam.signs_of(10, 4, 1)
