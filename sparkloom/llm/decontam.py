@@ -152,7 +152,9 @@ class Search:
         if not len(ids):
             return
         ends = np.append(starts[1:], len(ids))
-        blocks = self.embed[ids].reshape(len(ids) // BLOCK, BLOCK, -1).sum(1)
+        blocks = self.embed[ids[0::BLOCK]]
+        for i in range(1, BLOCK):
+            blocks += self.embed[ids[i::BLOCK]]
         sums = {1: blocks}
         for scale, least in zip(SCALES, cosine, strict=True):
             if scale not in self.scales:
