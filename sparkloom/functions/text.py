@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ STOPWORDS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for a row, however often body names it: the optimizer would else write an
+    expression out wherever a field or a branch needs it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def casefold(c: Column) -> Column:
     out = F.lower(c)
     for old, new in FOLDS.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import casefold, found, squash
+from sparkloom.functions.text import casefold, found, let, squash
 
 #: Phrases by kind, for casefolded text with straight apostrophes.
 APOLOGY = r"\b(?:i(?: am|'m) sorry|i apologize|my apologies|forgive me|my mistake)\b"
@@ -28,8 +28,11 @@ PENALTY = -0.5
 
 def tone_reward(response: Column) -> Column:
     """-0.5 for two apologies, an intense one, capitulation, insults, dismissal or directed aggression; else 0."""
-    text = squash(F.replace(casefold(F.coalesce(response, F.lit(""))), F.lit("’"), F.lit("'")))
-    bad = F.regexp_count(text, F.lit(APOLOGY)) >= 2
-    for pattern in (INTENSE_APOLOGY, CAPITULATION, INSULT, DISMISSIVE, AGGRESSION):
-        bad = bad | found(text, pattern)
-    return F.when(bad, F.lit(PENALTY)).otherwise(F.lit(0.0))
+
+    def of(text: Column) -> Column:
+        bad = F.regexp_count(text, F.lit(APOLOGY)) >= 2
+        for pattern in (INTENSE_APOLOGY, CAPITULATION, INSULT, DISMISSIVE, AGGRESSION):
+            bad = bad | found(text, pattern)
+        return F.when(bad, F.lit(PENALTY)).otherwise(F.lit(0.0))
+
+    return let(squash(F.replace(casefold(F.coalesce(response, F.lit(""))), F.lit("’"), F.lit("'"))), of)
