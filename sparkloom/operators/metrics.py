@@ -14,6 +14,7 @@ from sparkloom.functions.text import casefold, words
 
 #: Phrases that make a response a refusal.
 REFUSALS = ("i cannot answer", "i can't answer", "i cannot help", "i'm unable to", "i am unable to")
+#: The columns by which records are grouped.
 DIMENSIONS = ("topic", "question_type", "behavior_target", "answer_position", "prompt_variant", "system_prompt_condition")
 #: Parts of a reward whose sign is counted: name of the rate, part, sign.
 SIGNS = (
@@ -161,9 +162,15 @@ def choice_baselines(examples: DataFrame, target: str = "target_option", key: st
     return both.select(F.explode(rows).alias("r"), "total").select("r.strategy", "r.label", rate(F.col("r.k"), F.col("total")).alias("accuracy"))
 
 
-def paired(baseline: DataFrame, candidate: DataFrame, success: str = "target_selected", key: str = "example_id") -> DataFrame:
-    """Exact McNemar over rows of the same key: matched, discordant either way, p. Keys without a partner raise."""
-    side = lambda df, name: df.select(F.col(key).cast("string").alias("k"), _true(_has(df, success, "boolean")).alias(name), F.lit(True).alias(f"in_{name}"))
+def paired(baseline: DataFrame, candidate: DataFrame, success: str = "target_selected", key: str = "example_id", order: str | None = None) -> DataFrame:
+    """Exact McNemar over rows of the same key: matched, discordant either way, p. Of a side's rows of one key the last
+    counts, by the column order (by the place in the table if none is given). Keys without a partner raise."""
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        place = F.col(order) if order else F.monotonically_increasing_id()
+        rows = df.select(F.col(key).cast("string").alias("k"), _true(_has(df, success, "boolean")).alias("v"), place.alias("o"))
+        return rows.groupBy("k").agg(F.max_by("v", "o").alias(name), F.lit(True).alias(f"in_{name}"))
+
     j = side(baseline, "x").join(side(candidate, "y"), "k", "full_outer")
     n = j.agg(F.count_if(F.col("in_x").isNull() | F.col("in_y").isNull()).alias("alone"), F.count("*").alias("matched_examples"),
               F.count_if(F.col("x") & ~F.col("y")).alias("baseline_only_correct"), F.count_if(F.col("y") & ~F.col("x")).alias("candidate_only_correct"))
@@ -213,22 +220,25 @@ def bootstrap_compatible(records: DataFrame, success: str = "target_selected", c
 
 
 def bootstrap(records: DataFrame, success: str = "target_selected", cluster: str = "base_question_id", samples: int = 2000, seed: int = 42) -> DataFrame:
-    """The same by Poisson weights, clusters x samples on the cluster: low, high. The weight of a cluster in a sample comes
-    from a hash of the two, so that it is the same on any partitioning; partial sums shrink the rows to one a sample and
-    task before they move."""
+    """The same by Poisson weights, clusters x samples on the cluster: low, high; both null for fewer than two clusters.
+
+    A cluster's weight in a sample comes from a hash of the two, so that it is the same on any partitioning; a sample has
+    so many clusters only on average. Partial sums shrink the rows to one a sample and task before they move."""
     if samples < 100:
         raise ValueError("samples must be at least 100")
     c = _clusters(records, success, cluster).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("s"), F.col("cluster")), 11) / F.lit(float(2**53))
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("s").cast("string"), F.col("cluster")))
+    u = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
     bounds, p, cdf = [], 0.36787944117144233, 0.0
     for k in range(12):
         cdf += p
         bounds.append(cdf)
         p /= k + 1
     weight = sum((u >= b).cast("int") for b in bounds)
-    rates = c.select("s", weight.alias("w"), "k", "n").groupBy("s").agg(F.try_divide(F.sum(F.col("w") * F.col("k")).cast("double"), F.sum(F.col("w") * F.col("n"))).alias("r"))
+    rates = c.select("s", weight.alias("w"), "k", "n").groupBy("s").agg(F.try_divide(F.sum(F.col("w") * F.col("k")).cast("double"), F.sum(F.col("w") * F.col("n"))).alias("r"), F.count("*").alias("clusters"))
     at = lambda share: F.try_element_at("r", F.floor(share * (F.size("r") - 1)).cast("int") + 1)  # noqa: E731  samples of no rows at all have no rate
-    return rates.agg(F.array_sort(F.collect_list("r")).alias("r")).select(at(0.025).alias("low"), at(0.975).alias("high"))
+    got = rates.agg(F.array_sort(F.collect_list("r")).alias("r"), F.max("clusters").alias("clusters"))
+    return got.select(*(F.when(F.col("clusters") >= 2, at(share)).alias(name) for name, share in (("low", 0.025), ("high", 0.975))))
 
 
 def stop_early(evaluations: DataFrame, group: str, order: str, reward: str, patience: int = 3, delta: float = 0.001) -> DataFrame:
@@ -246,3 +256,8 @@ def stop_early(evaluations: DataFrame, group: str, order: str, reward: str, pati
 
     got = evaluations.groupBy(group).agg(F.aggregate(seq, start, step).alias("a"))
     return got.select(group, F.col("a.at").alias("best_step"), F.col("a.best").alias("best_reward"), F.col("a.stop").alias("stop_step"))
+
+
+def choice_distribution(examples: DataFrame, target: str = "target_option") -> DataFrame:
+    """label and n of the targets, null as a label of its own."""
+    return examples.groupBy(F.col(target).alias("label")).agg(F.count("*").alias("n"))

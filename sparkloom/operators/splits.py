@@ -101,17 +101,22 @@ def reservoir(rows, count: int, seed: int = 42) -> list:
 def limit_then_shard(rows: DataFrame, order: list[str], most: int | None, shards: int, shard: int) -> DataFrame:
     """The rows at places 0 to most - 1 of the order that are shard modulo shards, with place.
 
-    Places come from one range exchange and counts of its partitions, not from a window over all rows."""
+    The first rows of an order are few, and numbered in one place. Without most, places come from one range exchange and
+    counts of its partitions, not from a window over all rows; the partitions' number is stated, so that both readings of
+    the exchange have the same."""
     if not 0 <= shard < shards:
         raise ValueError("shard must be from 0 to shards - 1")
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    if most is not None:
+        first = rows.orderBy(*order).limit(most)
+        return first.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long") - 1).where(F.pmod("place", F.lit(shards)) == shard)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     tagged = ordered.withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftrightunsigned("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND(F.lit(2**33 - 1)))
     starts = tagged.groupBy("__p").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))  # a row a partition
     placed = tagged.join(F.broadcast(starts), "__p").withColumn("place", F.col("__s") + F.col("__i")).drop("__m", "__p", "__i", "__s")
-    kept = placed if most is None else placed.where(F.col("place") < most)
-    return kept.where(F.pmod("place", F.lit(shards)) == shard)
+    return placed.where(F.pmod("place", F.lit(shards)) == shard)
 
 
 def audit(rows: DataFrame, key: str, role: str, expected: tuple[str, ...]) -> DataFrame:

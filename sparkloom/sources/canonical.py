@@ -169,11 +169,14 @@ def validate(lines: DataFrame, json_col: str = "value", expected_role: str | Non
 
 
 def accept(validated: DataFrame) -> DataFrame:
-    """The canonical rows; a fault or a repeated example_id raises when the rows are read. The checked rows are persisted,
-    so that the checks' large expressions are planned and run once."""
+    """The canonical rows; a fault or a repeated example_id raises when the rows are read, and so does an empty table. The
+    checked rows are persisted, so that the checks' large expressions are planned and run once."""
     from pyspark.sql import Window
 
-    counted = validated.persist().withColumn("__n", F.count("*").over(Window.partitionBy("example_id")))
+    kept = validated.persist()
+    if kept.isEmpty():
+        raise ValueError("no rows to accept")
+    counted = kept.withColumn("__n", F.count("*").over(Window.partitionBy("example_id")))
     wrong = F.coalesce(F.col("fault"), F.when(F.col("__n") > 1, F.concat(F.lit("duplicate example_id "), F.col("example_id"))))
     return counted.where(F.when(wrong.isNull(), F.lit(True)).otherwise(F.raise_error(wrong).isNull())).drop("fault", "__n")
 

@@ -20,6 +20,7 @@ from sparkloom.functions.text import casefold, squash, strip
 from sparkloom.operators.identity import blinded_id, stable_id
 
 MEMBER_BYTES = 50 * 1024 * 1024
+#: What annotators label.
 SHEET_LABELS = ("behavior_label", "helpfulness_label", "respectfulness_label", "explanation_quality_label")
 
 
@@ -98,6 +99,7 @@ def simple_choices(df: DataFrame, dataset: str, namespace: str, ordinal: str = "
         *([F.col(ordinal)] if ordinal in df.columns else []), fault.alias("fault"))
 
 
+#: An option block of a prompt.
 OPTION = r"(?imsduU)^[\s\x1c-\x1f]*\(([AB])\)[\s\x1c-\x1f]*(.+?)(?=^[\s\x1c-\x1f]*\([AB]\)[\s\x1c-\x1f]*|\z)"
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 STEP = "session long, step long, reward double, ts timestamp"
 STATE = "steps long, total double, low double, last timestamp"
@@ -29,18 +32,45 @@ def expire(steps: DataFrame, session: str, ts: str, ttl_seconds: float, order: s
     return steps.withColumn("__late", late.cast("int")).withColumn("life", F.sum("__late").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__late")
 
 
-def admit(sessions: DataFrame, started: str, ended: str, cap: int = 64) -> DataFrame:
-    """sessions with open (how many others are live as each starts) and admitted (fewer than the cap).
-
-    Starts and ends are one ordered list of +1 and -1: the cap is a property of all sessions, so the count is made in
-    event time over hours, each of which gets what was open before it from the hours' own sums."""
-    marks = sessions.select("*", F.explode(F.array(F.struct(F.col(started).alias("at"), F.lit(1).alias("d")), F.struct(F.col(ended).alias("at"), F.lit(-1).alias("d")))).alias("m"))
-    marks = marks.where(F.col("m.at").isNotNull()).withColumn("__hour", F.date_trunc("hour", "m.at"))
-    hours = marks.groupBy("__hour").agg(F.sum("m.d").alias("__net"))
-    before = hours.select("__hour", F.coalesce(F.sum("__net").over(Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row an hour
-    w = Window.partitionBy("__hour").orderBy("m.at", "m.d", F.xxhash64(*sessions.columns)).rowsBetween(Window.unboundedPreceding, -1)
-    counted = marks.join(before, "__hour").withColumn("open", (F.col("__before") + F.coalesce(F.sum("m.d").over(w), F.lit(0))).cast("long"))
-    return counted.where("m.d = 1").withColumn("admitted", F.col("open") < cap).drop("m", "__hour", "__before")
+def admit(sessions: DataFrame, started: str, ended: str, order: str, cap: int = 64) -> DataFrame:
+    """sessions with open (how many admitted ones are live as each starts) and admitted (fewer than the cap). A session that
+    wasn't admitted is never open. Starts count in the order of started and then order; one that ends as another starts is
+    over; null ends never come. Sessions without a start are refused, with no open.
+
+    What one start may do depends on all before it, so the fold is in order; it holds at most cap ends. Runs between which
+    no session is live, whoever is admitted, don't depend on each other and are folded apart: their bounds come from the
+    latest end before each start, by hours and then within hours."""
+    far = F.lit("9999-12-31").cast("timestamp")
+    rows = sessions.withColumns({"__s": F.col(started).cast("timestamp"), "__e": F.coalesce(F.col(ended).cast("timestamp"), far)}).withColumn("__hour", F.date_trunc("hour", "__s"))
+    timed = rows.where(F.col("__s").isNotNull())
+    earlier = Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = timed.groupBy("__hour").agg(F.max("__e").alias("__last")).select("__hour", F.max("__last").over(earlier).alias("__before"))  # a row an hour
+    here = Window.partitionBy("__hour").orderBy("__s", order)
+    latest = F.greatest("__before", F.max("__e").over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    fresh = timed.join(hours, "__hour", "left").withColumn("__latest", latest).withColumn("__new", (F.col("__latest").isNull() | (F.col("__latest") <= F.col("__s"))).cast("int"))
+    news = fresh.groupBy("__hour").agg(F.sum("__new").alias("__n")).select("__hour", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__runs"))
+    run = F.col("__runs") + F.sum("__new").over(here.rowsBetween(Window.unboundedPreceding, 0))
+    dealt = fresh.join(news, "__hour", "left").withColumn("__run", run).select(*sessions.columns, "__run", "__s", "__e").repartition("__run").sortWithinPartitions("__run", "__s", order)
+    names, kept = sessions.columns, len(sessions.columns)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ends = None, []
+        for batch in batches:
+            counts, told = [], []
+            for run_, start, end in zip(*(batch.column(kept + i).cast(pa.int64()).to_pylist() for i in range(3)), strict=True):
+                if run_ != at:
+                    at, ends = run_, []
+                while ends and ends[0] <= start:
+                    heapq.heappop(ends)
+                counts.append(len(ends))
+                told.append(len(ends) < cap)
+                if told[-1]:
+                    heapq.heappush(ends, end)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(counts, pa.int64()), pa.array(told, pa.bool_())], names=[*names, "open", "admitted"])
+
+    schema = StructType([*sessions.schema.fields, StructField("open", LongType()), StructField("admitted", BooleanType())])
+    without = rows.where(F.col("__s").isNull()).select(*sessions.columns, F.lit(None).cast("long").alias("open"), F.lit(False).alias("admitted"))
+    return dealt.mapInArrow(fold, schema).unionByName(without)
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
