@@ -17,6 +17,7 @@ PROVENANCE = (
     "prompt_variant", "turn_number", "model_id", "model_revision", "target_option", "independent_option", "sycophantic_option",
     "user_preferred_option", "user_claim_valid", "question_type", "behavior_target",
 )
+#: Names of a task's score, the preferred first.
 SCORES = ("acc_norm,none", "acc,none", "exact_match,strict-match", "f1,none")
 
 

@@ -96,3 +96,24 @@ def evaluation_metric(metrics: Column) -> Column:
     named = F.coalesce(*(F.try_element_at(metrics, F.lit(n)) for n in ("eval_reward", "eval_rewards/mean", "eval_reward/mean")))
     others = F.array_max(F.map_values(F.map_filter(metrics, lambda k, v: F.startswith(k, F.lit("eval_")) & F.contains(k, F.lit("reward")))))
     return F.coalesce(named, others)
+
+
+def completion_text(completion: Column, kind: str) -> Column:
+    """The text of a completion: itself, or of messages the content of the last that has one; else empty. kind: text,
+    message (a struct) or messages (an array of these)."""
+    if kind == "text":
+        return F.coalesce(completion, F.lit(""))
+    if kind == "message":
+        return F.coalesce(completion["content"], F.lit(""))
+    return F.coalesce(F.try_element_at(F.filter(completion, lambda m: m["content"].isNotNull()), F.lit(-1))["content"], F.lit(""))
+
+
+def identified(prompts: DataFrame, prompt: str, id_key: str, role_key: str) -> DataFrame:
+    """prompts with messages (role and content alone), data_role and example_id, which the last message of a prompt carries
+    under reserved keys; and fault, null where all is there."""
+    last = F.try_element_at(F.col(prompt), F.lit(-1))
+    clean = F.transform(prompt, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    malformed = F.exists(prompt, lambda m: ~F.coalesce(m["role"].isin("system", "user", "assistant"), F.lit(False)) | m["content"].isNull())
+    fault = (F.when(F.coalesce(F.size(prompt), F.lit(0)) <= 0, "a rollout needs a prompt of messages").when(F.coalesce(last[id_key], F.lit("")) == "", "the prompt has no identity")
+             .when(~F.coalesce(last[role_key].isin("training", "validation"), F.lit(False)), "the prompt's role isn't one of development").when(F.coalesce(malformed, F.lit(False)), "a message is malformed"))
+    return prompts.withColumns({"messages": clean, "data_role": last[role_key], "example_id": last[id_key], "fault": fault})

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from sparkloom.functions.justification import ratio
-from sparkloom.functions.text import bigrams, canonical, content_tokens
+from sparkloom.functions.text import bigrams, canonical, content_tokens, let
+from sparkloom.tables import durable
+
+COMMON = 50_000  # items whose frequency counts: 1 MB
+GRAM = 3  # characters of a run
+BROADCAST_BYTES = 256 << 20
 
 
 def _threshold(name: str, value: float) -> None:
@@ -31,19 +38,30 @@ def exact_pairs(dev: DataFrame, bench: DataFrame, id_col: str, prompt: str, igno
 
 
 def _sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Distinct content tokens and bigrams of each text, as 64-bit hashes: what is joined and compared is numbers."""
+    hashed = lambda items: F.array_distinct(F.transform(items, lambda x: F.xxhash64(x)))
     toks = df.select(F.col(id_col).alias("id"), content_tokens(F.coalesce(F.col(text), F.lit(""))).alias("seq"))
-    return toks.select("id", F.array_distinct("seq").alias("token"), F.array_distinct(bigrams(F.col("seq"))).alias("bigram"))
+    return durable(toks.select("id", hashed(F.col("seq")).alias("token"), hashed(bigrams(F.col("seq"))).alias("bigram")))
+
+
+def _prefixes(rows: DataFrame, keys: list[str], items: str, keep: Column) -> DataFrame:
+    """keys and x: the first keep of each row's items in an order that all rows share, in which the commonest come last.
+
+    Any shared order loses nothing. Only the COMMON items that most rows have are told apart by their number of rows, so
+    that these, and not one row for each item of each row, are what is joined."""
+    each = rows.select(*keys, keep.alias("keep"), F.explode(items).alias("x"))
+    common = durable(each.groupBy("x").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "x").limit(COMMON))  # 16 bytes a row
+    ranked = each.join(F.broadcast(common), "x", "left").groupBy(*keys).agg(
+        F.max("keep").alias("keep"), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "x"))).alias("xs"))
+    return ranked.select(*keys, F.explode(F.slice("xs", F.lit(1), F.greatest("keep", F.lit(1)))).alias("e")).select(*keys, "e.x")
 
 
 def _candidates(dev: DataFrame, bench: DataFrame, item: str, threshold: float) -> DataFrame:
     """Pairs of ids that may reach the threshold: sets of near sizes that share one of their rarest items. If two sets are
-    that similar, the first |s| - ceil(threshold |s|) + 1 items of each, in any common order, share one; the order by
-    frequency keeps the items that many rows have out of the join."""
-    long = lambda df, side: df.select("id", F.size(item).alias("n"), F.explode(item).alias("x")).withColumn("side", F.lit(side))
-    rows = long(dev, 0).unionAll(long(bench, 1))
-    ranked = rows.join(rows.groupBy("x").agg(F.count("*").alias("df")), "x").groupBy("side", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))
+    that similar, the first |s| - ceil(threshold |s|) + 1 items of each, in any common order, share one."""
+    rows = dev.withColumn("side", F.lit(0)).unionByName(bench.withColumn("side", F.lit(1))).select("side", "id", F.size(item).alias("n"), item)
     keep = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1)
-    prefix = ranked.select("side", "id", "n", F.explode(F.slice("xs", F.lit(1), F.greatest(keep, F.lit(1)))).alias("e")).select("side", "id", "n", "e.x")
+    prefix = _prefixes(rows, ["side", "id", "n"], item, keep)
     a = prefix.where("side = 0").select(F.col("id").alias("a"), F.col("n").alias("na"), "x")
     b = prefix.where("side = 1").select(F.col("id").alias("b"), F.col("n").alias("nb"), "x")
     near = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
@@ -57,11 +75,11 @@ def _jaccard(x: Column, y: Column) -> Column:
 
 def near_pairs(dev: DataFrame, bench: DataFrame, exact: DataFrame, id_col: str, text: str, lexical_threshold: float = 0.8, ngram_threshold: float = 0.8) -> DataFrame:
     """development_id, benchmark_id, token_jaccard and bigram_jaccard of the pairs that reach either threshold and aren't
-    exact. A development text needs two distinct tokens; ids are meant to be unique on either side."""
+    exact. A development text needs two distinct tokens; ids are meant to be unique on either side. Tokens are compared by
+    64-bit hashes."""
     _threshold("lexical_threshold", lexical_threshold)
     _threshold("ngram_threshold", ngram_threshold)
-    # the sets are read eight times; persisted, texts are cut into tokens once
-    a, b = _sets(dev, id_col, text).persist().where(F.size("token") >= 2), _sets(bench, id_col, text).persist()
+    a, b = _sets(dev, id_col, text).where(F.size("token") >= 2), _sets(bench, id_col, text)
     pairs = _candidates(a, b, "token", lexical_threshold)
     if lexical_threshold > 0:
         more = _candidates(a, b, "bigram", ngram_threshold) if ngram_threshold > 0 else _candidates(a, b, "token", 0.0)
@@ -98,6 +116,54 @@ def semantic_pairs(dev: DataFrame, bench: DataFrame, blocked: DataFrame, id_col:
     return out.join(blocked, ["development_id", "benchmark_id"], "left_anti")
 
 
+def matrix_pairs(dev: DataFrame, bench: DataFrame, blocked: DataFrame, id_col: str, vector: str, scorer: Callable[[np.ndarray, np.ndarray], np.ndarray],
+                 threshold: float = 0.9, block_rows: int = 2_000) -> DataFrame:
+    """semantic_pairs for scorers of two matrices (a row each of development and benchmark): a score for each pair of rows.
+
+    The benchmark's vectors, a stated query set, are sent to the tasks whole if they have at most BROADCAST_BYTES, else in
+    as many parts, each of which reads the development rows once more; a task compares a batch with block_rows of them at
+    a time. Null vectors and null ids match nothing."""
+    _threshold("semantic_threshold", threshold)
+    held = bench.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = dev.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    schema = f"development_id {dev.schema[id_col].dataType.simpleString()}, benchmark_id {bench.schema[id_col].dataType.simpleString()}, semantic_similarity double"
+    parts = max(1, -(-(held.agg(F.sum(8 * F.size("v"))).first()[0] or 0) // BROADCAST_BYTES))
+    out = dev.sparkSession.createDataFrame([], schema)
+    stack = lambda c: np.asarray(c.flatten().to_numpy(zero_copy_only=False), float).reshape(len(c), -1)
+    for i in range(parts):
+        got = held.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).toArrow().combine_chunks()
+        if not got.num_rows:
+            continue
+        ids, vectors = got.column(0).combine_chunks(), stack(got.column(1).combine_chunks())
+        sent = dev.sparkSession.sparkContext.broadcast((ids, vectors))
+
+        def scored(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            ids, vectors = sent.value
+            for batch in batches:
+                own = stack(batch.column(1)) if batch.num_rows else np.empty((0, vectors.shape[1]))
+                for at in range(0, len(vectors) if len(own) else 0, block_rows):
+                    scores = scorer(own, vectors[at:at + block_rows])
+                    if not ((scores >= 0) & (scores <= 1)).all():
+                        raise ValueError("semantic similarity must be between 0 and 1")
+                    x, y = np.nonzero(scores >= threshold)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x)), ids.take(pa.array(at + y)), pa.array(scores[x, y])], names=["development_id", "benchmark_id", "semantic_similarity"])
+
+        out = out.unionAll(rows.mapInArrow(scored, schema))
+    return out.join(blocked, ["development_id", "benchmark_id"], "left_anti")
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of rows, moved from [-1, 1] into [0, 1]; zero vectors are unlike any."""
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    return np.clip(unit(x) @ unit(y).T / 2 + 0.5, 0.0, 1.0)
+
+
+def ranked(pairs: DataFrame, *scores: str) -> DataFrame:
+    """Pairs in a report's order: the greatest of the scores first, then by the two ids. Sorts all pairs."""
+    best = F.greatest(*scores) if len(scores) > 1 else F.col(scores[0])
+    return pairs.orderBy(F.desc(best), "development_id", "benchmark_id")
+
+
 def leakage_summary(dev: DataFrame, bench: DataFrame, exact: DataFrame, near: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
     """One row of the tiers' counts and whether all are empty."""
     n = lambda df, name: df.agg(F.count("*").alias(name))
@@ -123,17 +189,28 @@ def _ratio(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Series:
 def near_duplicate_groups(rows: DataFrame, group: str, text: str, ordinal: str, threshold: float = 0.94) -> DataFrame:
     """left_group < right_group and similarity of groups whose first texts are alike.
 
-    The ratio 2M / (a + b) bounds the lengths: the shorter has at least t / (2 - t) of the longer, so lengths fall in
-    bands of that step and only equal and neighbouring bands are joined; the ratio itself runs in Arrow batches on what
-    the letters in common don't rule out."""
+    The ratio is 2M / (a + b) for M characters in matching blocks. With e = a + b - 2M characters left over there are at
+    most e + 1 blocks, each of which but for GRAM - 1 of its characters begins a run of GRAM characters that both texts
+    have; so two texts that reach the threshold share a number of runs that grows with their length, and one of their
+    rarest (the k-th occurrence of a run counts as a run of its own). Texts too short for that are compared by length
+    alone. The ratio itself runs in Arrow batches on what the letters in common don't rule out."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    first = rows.groupBy(F.col(group).alias("g")).agg(F.min_by(F.col(text), F.col(ordinal)).alias("t")).withColumn("n", F.length("t"))
-    step = math.log((2 - threshold) / threshold) if threshold < 1 else 0.0
-    band = F.when(F.col("n") == 0, -5).otherwise(F.floor(F.log(F.col("n").cast("double")) / step) if step else F.col("n")).cast("long")
-    first = first.withColumn("band", band)
-    other = first.select(F.col("g").alias("h"), F.col("t").alias("u"), F.col("n").alias("m"), F.explode(F.array(*((F.col("band") + d for d in (-1, 0, 1)) if step else (F.col("band"),)))).alias("band"))
-    sizes = F.least("n", "m") >= threshold / (2 - threshold) * F.greatest("n", "m") - 1e-9
-    pairs = first.join(other, "band").where((F.col("g") < F.col("h")) & sizes)
+    first = durable(rows.groupBy(F.col(group).alias("g")).agg(F.min_by(F.col(text), F.col(ordinal)).alias("t")).withColumn("n", F.length("t")))
+    shortest = threshold / (2 - threshold)  # of a partner, as a share of the length
+    total = F.col("n") * (1 + shortest)
+    least = F.floor(total * (threshold / 2 - (1 - threshold) * (GRAM - 1)) - (GRAM - 1) + 1e-9).cast("int")
+    sized = first.withColumn("least", least)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - (GRAM - 1), F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(GRAM)))
+    counted = F.aggregate(F.array_sort(grams), F.struct(F.lit("").alias("last"), F.lit(0).alias("k"), F.array().cast("array<bigint>").alias("out")), lambda acc, x: let(
+        F.when(x == acc["last"], acc["k"] + 1).otherwise(0), lambda k: F.struct(x.alias("last"), k.alias("k"), F.concat(acc["out"], F.array(F.xxhash64(x, k))).alias("out"))), lambda acc: acc["out"])
+    runs = sized.where("least >= 1").select("g", "n", (F.col("n") - (GRAM - 1) - F.col("least") + 1).alias("keep"), counted.alias("runs"))
+    prefix = _prefixes(runs, ["g", "n"], "runs", F.col("keep"))
+    near = F.least("n", "m") >= shortest * F.greatest("n", "m") - 1e-9
+    by_run = prefix.join(prefix.select(F.col("g").alias("h"), F.col("n").alias("m"), "x"), "x").where((F.col("g") < F.col("h")) & near).select("g", "h").distinct()
+    short = sized.where("least < 1").select("g", "n")
+    reach = F.explode(F.sequence(F.ceil(F.col("n") * shortest - 1e-9).cast("int"), F.floor(F.col("n") / shortest + 1e-9).cast("int"))).alias("m")
+    by_length = short.select("g", reach).join(sized.select(F.col("g").alias("h"), F.col("n").alias("m")), "m").where(F.col("g") != F.col("h")).select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
+    pairs = by_run.unionAll(by_length).distinct().join(first.select("g", "t"), "g").join(first.select(F.col("g").alias("h"), F.col("t").alias("u")), "h")
     scored = pairs.select(F.col("g").alias("left_group"), F.col("h").alias("right_group"), _ratio(F.col("t"), F.col("u"), F.lit(threshold)).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold)

@@ -3,6 +3,8 @@ agree. The tables hold no A/B answers, so responses and labels are made of keys,
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ from sparkloom.functions.text import STOPWORDS
 from sparkloom.functions.tone import tone_reward
 from sparkloom.functions.trajectories import classify_trajectory, flips, score_trajectory
 from sparkloom.operators import compare, expand, identity, metrics, pushback, rollout, similarity, splits
+from sparkloom.plans import jobs
 from sparkloom.sources import canonical, records
 from sparkloom.streaming import sessions
 
@@ -69,7 +72,7 @@ def _records(spark: SparkSession, sf: str, shift: int = 0) -> DataFrame:
     return raw.select(
         "*", p["label"].alias("parsed_label"), p["reason"].alias("parse_status"), classify_answer(p, F.col("independent_option"), F.col("sycophantic_option")).alias("category"),
         F.coalesce(p["label"] == F.col("target_option"), F.lit(False)).alias("target_selected"), p["format_compliant"].alias("format_compliant"), p["contradictory"].alias("contradictory"),
-        p["truncated"].alias("truncated"), F.struct(*(v.alias(n) for n, v in parts.items())).alias("reward_breakdown")).drop("p")
+        p["truncated"].alias("truncated"), F.struct(*(v.alias(n) for n, v in parts.items())).alias("reward_breakdown"))
 
 
 # SQL of the same ------------------------------------------------------------------------------------------------------
@@ -276,6 +279,11 @@ def choice_baselines(spark, sf):
     return metrics.flat_rates(metrics.choice_baselines(_raw(spark, sf)))
 
 
+@query(f"""WITH {_sql_raw()} SELECT target_option AS label, count(*) AS n FROM raw GROUP BY 1""")
+def choice_distribution(spark, sf):
+    return metrics.choice_distribution(_raw(spark, sf))
+
+
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE value IS NOT NULL),
 f AS (SELECT user_id, i, value AS best, event_id AS place, 0 AS bad, NULL::BIGINT AS stop FROM e WHERE i = 1
   UNION ALL SELECT e.user_id, e.i, CASE WHEN f.stop IS NULL AND e.value > f.best + 0.001 THEN e.value ELSE f.best END, CASE WHEN f.stop IS NULL AND e.value > f.best + 0.001 THEN e.event_id ELSE f.place END,
@@ -285,9 +293,15 @@ def early_stop(spark, sf):
     return metrics.stop_early(t(spark, sf, "events"), "user_id", "event_id", "value")
 
 
-@query()
+_POISSON = "(" + " + ".join(f"(u >= {sum(0.36787944117144233 / math.factorial(j) for j in range(k + 1))!r})::INT" for k in range(12)) + ")"
+
+
+@query(f"""WITH {_sql_rec()}, c AS (SELECT 'q' || (substr(episode_id, 3)::BIGINT % 50) AS base_question_id, count(*) FILTER (target_selected) AS k, count(*) AS n FROM rec GROUP BY 1), s AS (SELECT *, unnest(range(0, 2000)) AS s FROM c),
+w AS (SELECT s, k, n, ('0x' || substr(md5('42:' || s || ':' || base_question_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM s),
+r AS (SELECT s, sum({_POISSON} * k) / sum({_POISSON} * n) AS r FROM w GROUP BY s), l AS (SELECT list_sort(list(r)) AS r FROM r)
+SELECT round(r[floor(0.025 * 1999)::INT + 1], 9) AS low, round(r[floor(0.975 * 1999)::INT + 1], 9) AS high FROM l""")
 def bootstrap(spark, sf):
-    return metrics.bootstrap(_records(spark, sf), samples=400)
+    return metrics.flat_rates(metrics.bootstrap(_records(spark, sf)))
 
 
 # Comparisons ----------------------------------------------------------------------------------------------------------
@@ -438,7 +452,7 @@ FROM embeddings a, embeddings b WHERE a.vec_id % 10 <> 0 AND b.vec_id % 10 = 0 A
 def leakage_semantic(spark, sf):
     e = t(spark, sf, "embeddings")
     none = spark.createDataFrame([], "development_id long, benchmark_id long")
-    got = similarity.semantic_pairs(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), none, "vec_id", "embedding", lambda x, y: similarity.cosine(x, y) / 2 + 0.5, 0.68)
+    got = similarity.matrix_pairs(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), none, "vec_id", "embedding", similarity.cosines, 0.68)
     return got.withColumn("semantic_similarity", F.round("semantic_similarity", 6))
 
 
@@ -564,7 +578,7 @@ def online_pushbacks(spark, sf):
 @query(f"""WITH {_sql_rec()} SELECT example_id, parsed_label, parse_status, format_compliant, contradictory, truncated, category, target_selected, justification,
   coalesce(array_to_string(list_sort(list_distinct(labels)), ','), '') AS mentioned FROM rec""")
 def parse_answers(spark, sf):
-    r = _records(spark, sf).withColumn("p", parse_answer(F.col("generated_response"), F.col("finish_reason")))
+    r = _records(spark, sf)
     return r.select("example_id", "parsed_label", "parse_status", "format_compliant", "contradictory", "truncated", "category", "target_selected", F.col("p.justification").alias("justification"), F.array_join("p.mentioned_labels", ",").alias("mentioned"))
 
 
@@ -669,6 +683,13 @@ def identity_lookup(spark, sf):
     return rollout.attach(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), c, ["o_custkey"])
 
 
+@query("""SELECT c.conv_id AS k, coalesce(arg_max(c.text, c.turn) FILTER (c.text <> '' AND c.turn % 3 <> 2), '') AS text FROM conversations c GROUP BY c.conv_id""")
+def completion_texts(spark, sf):
+    said = F.struct(F.col("role"), F.when((F.col("turn") % 3 != 2) & (F.col("text") != ""), F.col("text")).alias("content"), F.col("turn"))
+    m = t(spark, sf, "conversations").groupBy(F.col("conv_id").alias("k")).agg(F.array_sort(F.collect_list(F.struct(F.col("turn"), said.alias("m")))).alias("s"))
+    return m.select("k", rollout.completion_text(F.transform("s", lambda x: x["m"]), "messages").alias("text"))
+
+
 # Sessions -------------------------------------------------------------------------------------------------------------
 
 
@@ -684,11 +705,23 @@ def session_ttl(spark, sf):
     return sessions.expire(t(spark, sf, "events"), "user_id", "ts", 3600, "event_id").groupBy("user_id", "life").agg(F.count("*").alias("steps"))
 
 
-@query("""WITH s AS (SELECT event_id, ts AS started, ts + INTERVAL 30 MINUTE AS ended FROM events), a AS (SELECT s.event_id, (SELECT count(*) FROM s o WHERE o.started < s.started AND o.ended > s.started) AS open FROM s)
-SELECT event_id, open::BIGINT AS open, open < 5 AS admitted FROM a""")
+@query("""WITH RECURSIVE s AS (SELECT event_id, epoch_us(ts) AS started, epoch_us(ts) + 1800000000 + event_id % 7 * 600000000 AS ended, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT event_id, i, [ended] AS ends, 0::BIGINT AS open, true AS admitted FROM s WHERE i = 1
+  UNION ALL SELECT s.event_id, s.i, CASE WHEN len(list_filter(f.ends, lambda x: x > s.started)) < 3 THEN list_append(list_filter(f.ends, lambda x: x > s.started), s.ended) ELSE list_filter(f.ends, lambda x: x > s.started) END,
+    len(list_filter(f.ends, lambda x: x > s.started))::BIGINT, len(list_filter(f.ends, lambda x: x > s.started)) < 3 FROM f JOIN s ON s.i = f.i + 1)
+SELECT event_id, open, admitted FROM f""")
 def session_cap(spark, sf):
-    e = t(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("started"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 30 MINUTES")).alias("ended"))
-    return sessions.admit(e, "started", "ended", 5).select("event_id", "open", "admitted")
+    end = F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 MINUTE") * (30 + F.col("event_id") % 7 * 10).cast("int")
+    e = t(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("started"), end.alias("ended"))
+    return sessions.admit(e, "started", "ended", "event_id", 3).select("event_id", "open", "admitted")
+
+
+@query("""SELECT o_orderpriority AS category, arg_min(o_orderkey, (md5('42:' || 'e' || o_orderkey), o_orderkey)) AS k FROM orders GROUP BY 1""")
+def reset_picks(spark, sf):
+    r = _raw(spark, sf).withColumns({"source": F.lit("s"), "prompt": F.lit("p")})
+    topics = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    picked = [jobs.reset(r, category=x).select(F.lit(x).alias("category"), F.substring("episode_id", 2, 20).cast("long").alias("k")) for x in topics]
+    return functools.reduce(DataFrame.unionAll, picked)
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) < 1 THEN 'response is empty' WHEN length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) > 300 THEN 'response is too long' WHEN role = 'user' THEN 'finish_reason is unknown' END AS fault FROM conversations")
