@@ -15,9 +15,10 @@ from sparkloom.llm.common import crc32_mod, shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents of which no language can be told: those without a letter. Profiles as in op10."""
+    """Without the documents of which no language can be told: those without a letter, and those that are like none of the
+    profiles (as in op10) though they have trigrams enough to tell."""
     profiles = langid.fit_profiles(docs.where(crc32_mod("doc_id", 5) != 0))
-    return langid.identify(docs, profiles, keep=0.0).select(*docs.columns)
+    return langid.identify(docs, profiles, keep=langid.KEEP).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
