@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A token is a run of anything but space and the five ASCII controls TAB..CR.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from sparkloom.tables import durable, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named, as in tests."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-"))
-    return named or sc.getCheckpointDir()
+__all__ = ["WORD", "crc32_mod", "durable", "rows_of", "shared_dir", "table", "text_or_empty", "tmp", "words_of"]
 
-
-def durable(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: losing an executor loses nothing, lineage ends here."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: A token is a run of anything but space and the five ASCII controls TAB..CR.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
