@@ -87,6 +87,12 @@ def compare_capabilities(baseline: DataFrame, candidate: DataFrame, most_lost: f
     return j.select("task", "baseline", "candidate", delta.alias("delta"), (delta >= -most_lost).alias("passed"))
 
 
+def require_capabilities(compared: DataFrame) -> None:
+    """Raises where a task of compare_capabilities lost more than it may, naming the tasks: what stops a run."""
+    if lost := sorted(r.task for r in compared.where(~F.col("passed")).select("task").collect()):
+        raise ValueError(f"capabilities were lost: {', '.join(lost)}")
+
+
 def ablation(records: DataFrame, run: str, describe: Sequence[str] = ("model_id", "adapter_path", "system_prompt_condition"), order: str = "example_id") -> DataFrame:
     """A row a run: what its first record says of the run, and its rates; fewer than two runs raise."""
     first = records.groupBy(run).agg(*(F.min_by(c, order).alias(c) for c in describe if c in records.columns))

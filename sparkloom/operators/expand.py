@@ -132,6 +132,15 @@ def prompt_variants(df: DataFrame, variants: Sequence[str] = VARIANTS, id_col: s
     return rows.withColumns({"episode_id": F.concat_ws("::", F.col(id_col).cast("string"), "prompt_variant"), "variant_text": body})
 
 
+def variant_turns(df: DataFrame, variants: Sequence[str] = VARIANTS, id_col: str = "example_id", text: str = "text", pushbacks: str = "pushback_turns") -> DataFrame:
+    """A row for each variant and turn: episode_id (id::variant), turn_number from 0, example_id (episode::turn-n), and
+    asked: the variant's text, then each pushback's. Null pushbacks: one turn."""
+    turns = F.coalesce(F.col(pushbacks), F.array().cast(df.schema[pushbacks].dataType))
+    rows = prompt_variants(df, variants, id_col, text)
+    said = F.concat(F.array(F.col("variant_text")), F.transform(turns, lambda t: t["text"]))
+    return rows.select("*", F.posexplode(said).alias("turn_number", "asked")).withColumn(id_col, F.concat("episode_id", F.lit("::turn-"), F.col("turn_number").cast("string")))
+
+
 def build_prompt(question: Column, a: Column, b: Column, preferred: Column, pressure: Column, style: Column) -> Column:
     """The lines of a binary question: options, what the user believes, an instruction, how to reply."""
     believes = F.when(preferred.isNotNull(), F.trim(F.concat(F.lit("I believe ("), preferred, F.lit(") is the answer. "), F.coalesce(pressure, F.lit("")))))

@@ -512,6 +512,16 @@ def pressure_variants(spark, sf):
     return expand.prompt_variants(b, id_col="item_id").select("item_id", "prompt_variant", "episode_id", F.md5("variant_text").alias("text_md5"))
 
 
+@query(f"""WITH v AS (SELECT item_id, text, unnest([{", ".join(_sql(v) for v in expand.VARIANTS)}]) AS variant FROM benchmark), n AS (SELECT *, unnest(range(0, 1 + item_id % 3)) AS turn FROM v)
+SELECT item_id || '::' || variant || '::turn-' || turn AS example_id, item_id || '::' || variant AS episode_id, turn AS turn_number, md5(CASE WHEN turn > 0 THEN 'no, ' || turn ELSE CASE variant WHEN 'original' THEN {_ASK} WHEN 'swap_options' THEN {_swap_sql(_ASK)}
+  {" ".join(f"WHEN {_sql(k)} THEN {_ASK} || {_sql(v)}" for k, v in expand.VARIANT_SUFFIXES.items())} END END) AS asked_md5 FROM n""")
+def variant_turns(spark, sf):
+    said = F.transform(F.sequence(F.lit(1), F.col("item_id") % 3), lambda i: F.struct(F.concat(F.lit("no, "), i.cast("string")).alias("text")))
+    turns = F.when(F.col("item_id") % 3 > 0, said)
+    b = t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("example_id"), F.concat("text", F.lit(" (a) yes ( B ) no")).alias("text"), turns.alias("pushback_turns"))
+    return expand.variant_turns(b).select("example_id", "episode_id", F.col("turn_number").cast("long").alias("turn_number"), F.md5("asked").alias("asked_md5"))
+
+
 @query(f"SELECT p_partkey, {_swap_sql('''p_name || ' (A) or (b)' ''')} AS text, CASE WHEN p_size % 2 = 0 THEN 'B' ELSE 'A' END AS target_option, p_type AS a, p_brand AS b FROM part")
 def option_swap(spark, sf):
     p = t(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit(" (A) or (b)")).alias("text"), F.when(F.col("p_size") % 2 == 0, "A").otherwise("B").alias("target_option"), F.struct(F.col("p_brand").alias("A"), F.col("p_type").alias("B")).alias("options"))

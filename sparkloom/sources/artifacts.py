@@ -32,12 +32,20 @@ def prompt_digest(messages: Column) -> Column:
 
 
 def write_splits(rows: DataFrame, path: str, role: str = "split", key: str = "example_id", seed: int = 42, source: str | None = None) -> dict:
-    """rows by role as sorted JSON lines, and a manifest of counts and digests of ids; an existing folder is refused."""
+    """rows by role as sorted JSON lines, a list of ids for each role, and a manifest of counts and digests of ids; an
+    existing folder is refused. The lists pass through the driver a part at a time."""
     if Path(path).exists():
         raise FileExistsError(path)
     rows.repartition(role).sortWithinPartitions(role, key).write.partitionBy(role).mode("error").json(f"{path}/rows")
     found = {r[role]: {"count": r["ids"], "ids_sha256": r["ids_sha256"]} for r in id_set_hash(rows, key, (role,)).collect()}
     manifest = {"schema_version": 1, "seed": seed, "source_sha256": file_digest(source) if source else None, "splits": found}
+    for name in found:
+        ids = rows.where(F.col(role) == name).select(F.col(key).cast("string").alias("id")).orderBy("id").toLocalIterator()
+        with open(f"{path}/{name}_ids.json", "w", encoding="utf-8") as out:
+            out.write("[")
+            for i, row in enumerate(ids):
+                out.write(("," if i else "") + "\n  " + json.dumps(row.id, ensure_ascii=False))
+            out.write("\n]\n")
     write_json(f"{path}/manifest.json", manifest)
     return manifest
 

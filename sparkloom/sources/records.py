@@ -29,11 +29,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", path.endswith(".json")).json(path)
 
 
-def write_records(df: DataFrame, path: str, mode: str = "error") -> None:
-    """JSON lines; an empty table is refused."""
+def write_records(df: DataFrame, path: str, mode: str = "error", key: str | None = None) -> int:
+    """JSON lines with their keys in order; the number of rows. An empty table is refused, and with key one in which it
+    repeats. The folder is there as a whole or not at all."""
     if df.isEmpty():
         raise ValueError("refusing to write an empty dataset")
-    df.write.mode(mode).json(path)
+    if key and (twice := df.groupBy(key).count().where("count > 1").orderBy(key).first()):
+        raise ValueError(f"duplicate {key} {twice[0]}")
+    df.select(*sorted(df.columns)).write.mode(mode).json(path)
+    return df.sparkSession.read.text(path).count()
 
 
 def write_json(path: str, value: object) -> None:
