@@ -38,6 +38,7 @@ LAST = 3  # bytes of an ending
 ROUNDS = 3  # over all words, at most
 RISE = 0.003  # of the likelihood per token (natural log), below which the rounds end
 DISCOUNT = 0.5
+SMALL = 8  # counts of neighbours whose rises are read from a table
 PRIOR = 2.0  # weight of a class's own frequency in its transitions
 FLUSH = 400_000  # distinct words that a counting task holds
 BINS = 8  # of counts, for each doubling
@@ -85,23 +86,37 @@ def _likelihood(n: np.ndarray) -> float:
     return float(_xlogx(n).sum() - _xlogx(n.sum(0)).sum() - _xlogx(n.sum(1)).sum())
 
 
-def _gains(n: np.ndarray, a: np.ndarray, r: np.ndarray, l: np.ndarray, own: np.ndarray) -> np.ndarray:  # noqa: E741
+def _rises(n: np.ndarray) -> list[np.ndarray]:
+    """[r - 1, j, b]: the rise of x log x from n[b, j] to n[b, j] + r, for r up to SMALL; and the same of n's transpose."""
+    more = np.arange(1, SMALL + 1)[:, None, None]
+    return [_xlogx(m.T[None] + more) - _xlogx(m.T)[None] for m in (n, n.T)]
+
+
+def _gains(n: np.ndarray, a: np.ndarray, r: np.ndarray, l: np.ndarray, own: np.ndarray, rises: list[np.ndarray] | None = None) -> np.ndarray:  # noqa: E741
     """By word and class, the likelihood if the word of class a were there, but for a constant of the word; r, l: its
-    followers' and precursors' classes, a row each, without its pairs with itself (own). Only classes it meets are looked at."""
+    followers' and precursors' classes, a row each, without its pairs with itself (own). Only classes it meets are looked at;
+    rises: those of n, for the many small counts."""
     w = np.arange(len(a))
     gain = np.zeros_like(r)
-    for m, x, y in ((n, r, l), (n.T, l, r)):
+    for side, (m, x, y) in enumerate(((n, r, l), (n.T, l, r))):
         of, at = np.nonzero(x)
         if not len(of):
             continue
-        e, more = np.arange(len(of)), x[of, at]
-        part = m.T[at].copy()  # [entry, class]: from each class to the one that is met
-        part[e, a[of]] -= more  # without the word
-        same = at == a[of]
-        part[same] -= y[of[same]]
-        part[e[same], at[same]] -= own[of[same]]
-        rise = _xlogx(part + more[:, None]) - _xlogx(part)
-        rise[e, at] = 0.0  # the diagonal is told below
+        more, mine = x[of, at], a[of]
+        rise = np.empty((len(of), len(n)))
+        read = (more <= SMALL) & (at != mine) if rises is not None else np.zeros(len(of), bool)
+        e = np.flatnonzero(read)
+        rise[e] = rises[side][more[e].astype(np.int64) - 1, at[e]] if len(e) else 0.0
+        here = m[mine[e], at[e]]  # without the word
+        rise[e, mine[e]] = _xlogx(here) - _xlogx(here - more[e])
+        e = np.flatnonzero(~read)
+        part = m.T[at[e]].copy()  # [entry, class]: from each class to the one that is met
+        part[np.arange(len(e)), mine[e]] -= more[e]
+        same = np.flatnonzero(at[e] == mine[e])
+        part[same] -= y[of[e][same]]
+        part[same, at[e][same]] -= own[of[e][same]]
+        rise[e] = _xlogx(part + more[e, None]) - _xlogx(part)
+        rise[np.arange(len(of)), at] = 0.0  # the diagonal is told below
         starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
         gain[of[starts]] += np.add.reduceat(rise, starts, axis=0)
     both = np.tile(np.diagonal(n), (len(a), 1))
@@ -266,12 +281,14 @@ def _placed(ids: DataFrame, of: np.ndarray, follow: np.ndarray) -> np.ndarray:
         starts = np.append(np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))), len(word)) if len(word) else np.zeros(1, np.int64)
         words, at = word[starts[:-1]], 0
         out = np.empty(len(words), np.int32)
+        if not tables:
+            tables.extend(_rises(n))
         while at < len(words):  # as many symbols as have some thousand neighbours
             upto = max(at + 1, int(np.searchsorted(starts, starts[at] + 4_096, "right")) - 1)
             v = np.zeros((upto - at, slots))
             v[np.repeat(np.arange(upto - at), np.diff(starts[at:upto + 1])), keys[starts[at]:starts[upto]] % slots] = ns[starts[at]:starts[upto]]
             a = of_[words[at:upto]].astype(np.int64)
-            out[at:upto] = _best(_gains(n, a, v[:, :classes], v[:, classes:-1], v[:, -1]), a, classes - 1, cost)
+            out[at:upto] = _best(_gains(n, a, v[:, :classes], v[:, classes:-1], v[:, -1], tables), a, classes - 1, cost)
             at = upto
         return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), pa.array(out)], names=["word", "class"])
 
@@ -292,7 +309,7 @@ def _placed(ids: DataFrame, of: np.ndarray, follow: np.ndarray) -> np.ndarray:
                 keys, ns = keys[whole:], ns[whole:]
         yield best(keys, ns)
 
-    cost = math.log(classes)
+    cost, tables = math.log(classes), []  # the tables are made in each task
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes make much work here
     near = ids.mapInArrow(counted, "word int, slot array<short>, n array<int>").repartition(parts, "word").sortWithinPartitions("word")
     got = near.mapInArrow(chosen, "word int, class int").toArrow()

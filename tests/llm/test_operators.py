@@ -574,6 +574,7 @@ def test_exchange_raises_the_likelihood():
 def test_gains_are_differences_of_the_likelihood():
     rng = np.random.default_rng(2)
     pairs = rng.poisson(0.7, (30, 30)).astype(float)
+    pairs[:5, 5:9] += 20
     of = np.append(rng.integers(0, 5, 29), 5)
     one = np.eye(6)[of]
     n = one.T @ pairs @ one
@@ -582,6 +583,7 @@ def test_gains_are_differences_of_the_likelihood():
         r[np.arange(len(some)), a] -= own
         l[np.arange(len(some)), a] -= own
         gain = brown._gains(n, a, r, l, own)
+        assert np.allclose(brown._gains(n, a, r, l, own, brown._rises(n)), gain, atol=1e-8)
         for i, s in enumerate(some):
             for b in range(6):
                 other = of.copy()
