@@ -17,6 +17,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,21 @@ COMMON = 0.65  # of a passage's words in the common subsequence
 ANSWER = 0.6  # of the answer's words among those
 REACH = 32  # words looked at on either side of a window
 COLUMNS = 2_048  # passages compared at a time
+PIECE = 1 << 19  # bytes of text compared at a time, or one text
+#: By scale the sums of blocks that it and later ones are made of; the others are let go.
+KEPT = {16: (1, 2, 4), 24: (2, 4, 6), 32: (4, 8), 48: (4, 8, 12), 64: (8, 16)}
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most 64 and at most PIECE bytes of text (or one row), so that very long texts don't meet."""
+    for batch in rows_of(batches, 64):
+        first, size = 0, 0
+        for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
+            if i > first and size + (n or 0) > PIECE:
+                yield batch.slice(first, i - first)
+                first, size = i, 0
+            size += n or 0
+        yield batch.slice(first)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -160,6 +176,8 @@ class Search:
             if scale not in self.scales:
                 continue
             windows = _windows(sums, scale // BLOCK)
+            for k in [k for k in sums if k not in KEPT[scale]]:
+                del sums[k]
             places, vectors = self.scales[scale]
             norms = np.sqrt(np.einsum("ij,ij->i", windows, windows))
             bound = (least * np.where(norms > 0, norms, np.inf))[:, None]
@@ -233,7 +251,7 @@ def fit_search(corpus: DataFrame, rows: list[tuple], text_col: str, rank: int =
         terms_ = held.value
         signs_ = signs_of(len(terms_), rank, seed)
         seen, sums, count = np.zeros(len(terms_), np.int64), np.zeros((len(terms_), signs_.shape[1])), 0
-        for batch in rows_of(batches, 64):
+        for batch in _pieces(batches, 0):
             ids, _ = _encode([t for t in batch.column(0).to_pylist() if t], terms_, long)
             of, n, s = _sketch(ids, signs_, long)
             seen[of] += n
@@ -300,7 +318,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     held = spark.sparkContext.broadcast(fit_search(source, rows, "text"))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 64):
+        for batch in _pieces(batches, 1):
             if got := list(held.value.leaks(batch.column(1).to_pylist())):
                 cols = [batch.column(0).take(pa.array([g[0] for g in got], pa.int64())), pa.array([g[1] for g in got], kind),
                         pa.array([g[2] for g in got], pa.float64()), pa.array([g[3] for g in got], pa.float64())]
@@ -312,13 +330,13 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
     """documents without those that leak any item; a decision by row, so that texts aren't shuffled."""
-    src, rows = tmp("text"), _rows(benchmark, item_col, item_text_col, answer_col)
+    src, width, rows = tmp("text"), len(documents.columns), _rows(benchmark, item_col, item_text_col, answer_col)
     if not rows:
         return documents
     held = documents.sparkSession.sparkContext.broadcast(fit_search(documents, rows, text_col))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 64):
+        for batch in _pieces(batches, width):
             keep = np.ones(batch.num_rows, bool)
             keep[[g[0] for g in held.value.leaks(batch.column(batch.num_columns - 1).to_pylist(), first_only=True)]] = False
             yield batch.drop_columns([src]).filter(pa.array(keep))
