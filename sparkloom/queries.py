@@ -429,7 +429,7 @@ def leakage_exact(spark, sf):
 @query(f"{_sql_leaks(*_PARITY, 0.8, 0.8)} SELECT development_id, benchmark_id, round(token_jaccard, 9) AS token_jaccard, round(bigram_jaccard, 9) AS bigram_jaccard FROM hit")
 def leakage_near(spark, sf):
     a, b = _sides(spark, sf)
-    return metrics.flat_rates(similarity.near_pairs(a, b, similarity.exact_pairs(a, b, "doc_id", "text"), "doc_id", "text"))
+    return metrics.flat_rates(similarity.near_pairs(a, b, None, "doc_id", "text"))
 
 
 @query(f"""{_sql_leaks(*_PARITY, 0.8, 0.8)} SELECT (SELECT count(*) FROM ds) AS development_examples, (SELECT count(*) FROM bs) AS benchmark_examples, (SELECT count(*) FROM exact) AS exact_prompt_overlap_count,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import random
+import re
 import zipfile
 from difflib import SequenceMatcher
 
@@ -175,6 +176,27 @@ def test_near_pairs_equal_all_pairs(spark, thresholds):
     assert got == expected
 
 
+@pytest.mark.parametrize("thresholds", [(0.8, 0.8), (0.6, 0.7)])
+def test_near_pairs_without_a_list_of_exact_ones(spark, thresholds):
+    rng = random.Random(4)
+    vocabulary = [f"w{i:03}" for i in range(120)] + ["straße", "about", "ſome", "off"]
+    bases = [rng.choices(vocabulary[:m], k=k) for m, k in ((124, 60), (124, 9), (9, 80), (124, 3), (3, 4))]
+    texts = [" ".join(w if rng.random() > 0.07 else rng.choice(vocabulary) for w in rng.choice(bases)) for _ in range(90)] + [None, "", "w001 w002", "W001, w002!"]
+    dev, bench = (spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i % 2 == r], "id long, text string") for r in (0, 1))
+    got = {(r[0], r[1]): (round(r[2], 9), round(r[3], 9)) for r in similarity.near_pairs(dev, bench, None, "id", "text", *thresholds).collect()}
+    j = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    words = [[w for w in re.findall("[a-z0-9]+", (t or "").casefold())] for t in texts]
+    content = [[w for w in ws if len(w) >= 4 and w != "about"] for ws in words]
+    expected = {}
+    for a in range(0, len(texts), 2):
+        for b in range(1, len(texts), 2):
+            x, y = content[a], content[b]
+            score = j({*x}, {*y}), j({*zip(x, x[1:], strict=False)}, {*zip(y, y[1:], strict=False)})
+            if len({*x}) >= 2 and {*x} & {*y} and words[a] != words[b] and (score[0] >= thresholds[0] or score[1] >= thresholds[1]):
+                expected[a, b] = (round(score[0], 9), round(score[1], 9))
+    assert len(expected) > 20 and got == expected
+
+
 def test_semantic_tier(spark):
     rows = spark.createDataFrame([(i, [math.cos(i / 5), math.sin(i / 5)]) for i in range(40)], "id long, v array<double>")
     none = spark.createDataFrame([(0, 0)], "development_id long, benchmark_id long")
