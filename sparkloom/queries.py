@@ -436,8 +436,7 @@ def leakage_near(spark, sf):
   (SELECT count(*) FROM hit) AS high_lexical_similarity_count, 0::BIGINT AS high_semantic_similarity_count, false AS semantic_enabled, (SELECT count(*) FROM exact) + (SELECT count(*) FROM hit) = 0 AS passed""")
 def leakage_summary(spark, sf):
     a, b = _sides(spark, sf)
-    exact = similarity.exact_pairs(a, b, "doc_id", "text")
-    return similarity.leakage_summary(a, b, exact, similarity.near_pairs(a, b, exact, "doc_id", "text"))
+    return similarity.leakage_summary(a, b, similarity.exact_count(a, b, "text"), similarity.near_pairs(a, b, None, "doc_id", "text"))
 
 
 @query(f"{_sql_leaks('SELECT doc_id AS id, text FROM documents', 'SELECT item_id AS id, text FROM benchmark', 0.25, 0.25)} SELECT development_id, benchmark_id, round(token_jaccard, 9) AS token_jaccard, round(bigram_jaccard, 9) AS bigram_jaccard FROM hit")

@@ -197,6 +197,17 @@ def test_near_pairs_without_a_list_of_exact_ones(spark, thresholds):
     assert len(expected) > 20 and got == expected
 
 
+@pytest.mark.parametrize("ignore", [False, True])
+def test_exact_pairs_are_counted_without_a_list(spark, ignore):
+    texts = ["A b", "a, B!", "a b", None, "?!", "", "c", "d"] * 3
+    dev, bench = (spark.createDataFrame([(i, t) for i, t in enumerate(texts) if (i // 8 + i) % 2 == r], "id long, text string") for r in (0, 1))
+    counted = similarity.exact_count(dev, bench, "text", ignore)
+    assert counted.first()[0] == similarity.exact_pairs(dev, bench, "id", "text", ignore).count() > 0
+    told = similarity.leakage_summary(dev, bench, counted, spark.createDataFrame([], "development_id long")).first()
+    assert told.exact_prompt_overlap_count == counted.first()[0] and not told.passed
+    assert similarity.exact_count(dev, bench.limit(0), "text").first()[0] == 0
+
+
 def test_semantic_tier(spark):
     rows = spark.createDataFrame([(i, [math.cos(i / 5), math.sin(i / 5)]) for i in range(40)], "id long, v array<double>")
     none = spark.createDataFrame([(0, 0)], "development_id long, benchmark_id long")
