@@ -4,16 +4,18 @@ All passages of the corpus and the benchmark, over the benchmark's vocabulary, m
 corpus gives the document frequencies and T'(T R) for term counts T and random signs R: with D = diag(idf) and the test
 matrix R / idf that is the sketch A'A(R / idf) = D T'(T R) of the randomised SVD, whose orthonormal basis spans the latent
 space. A second pass compares windows of every text with the benchmark's passages by cosine in that space; a candidate is
-a leak if a longest common subsequence holds enough of the passage's words and enough of its answer. Two passes serve a
-benchmark of any size. A benchmark is held by the driver and the tasks: some 1 KB for each of its distinct words.
+a leak if a longest common subsequence holds enough of the passage's words and enough of its answer. Candidates in a unit
+of text with too few of the passage's distinct words for that are let go together, others by their own words. Two passes
+serve a benchmark of any size. A benchmark is held by the driver and the tasks: some 1 KB for each of its distinct words.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import product, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +40,16 @@ ANSWER = 0.6  # of the answer's words among those
 REACH = 32  # words looked at on either side of a window
 COLUMNS = 2_048  # passages compared at a time
 PIECE = 1 << 19  # bytes of text compared at a time, or one text
+STRIP = 2_048  # blocks compared at a time, so that their sums stay in a cache
+UNIT = 256  # words, at least a window and twice REACH; a passage is looked for in a unit before it is in the unit's windows
+OFTEN = 32  # occurrences of a term in a piece from which on they are summed by themselves
 #: By scale the sums of blocks that it and later ones are made of; the others are let go.
 KEPT = {16: (1, 2, 4), 24: (2, 4, 6), 32: (4, 8), 48: (4, 8, 12), 64: (8, 16)}
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most 64 and at most PIECE bytes of text (or one row), so that very long texts don't meet."""
-    for batch in rows_of(batches, 64):
+def _pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 64) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most that many and at most PIECE bytes of text (or one row), so that very long texts don't meet."""
+    for batch in rows_of(batches, most):
         first, size = 0, 0
         for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
             if i > first and size + (n or 0) > PIECE:
@@ -75,24 +80,31 @@ class Passage:
             self.masks[t] = self.masks.get(t, 0) | 1 << i
 
 
-def _encode(texts: list[str | None], terms: dict[bytes, int], whole: int) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of all words, each text padded to a multiple of whole; the first word of each text. Words of no term: len(terms)."""
-    get, none = terms.get, len(terms)
+def _codes(terms: dict[bytes, int]) -> dict[bytes, bytes]:
+    """The terms as the bytes of an int32: joined, they make an array sooner than integers do."""
+    return {w: i.to_bytes(4, sys.byteorder) for w, i in terms.items()}
+
+
+def _encode(texts: list[str | None], codes: dict[bytes, bytes], whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of all words, each text padded to a multiple of whole; the first word of each text. Words of no term: len(codes)."""
+    get, none = codes.get, len(codes).to_bytes(4, sys.byteorder)
     parts, starts, at = [], [], 0
     for text in texts:
-        words = tokens(text)
-        padded = np.full(max(1, -(-len(words) // whole)) * whole, none, np.int32)
-        padded[:len(words)] = np.fromiter(map(get, words, repeat(none)), np.int32, len(words))
-        parts.append(padded)
+        found = b"".join(map(get, tokens(text), repeat(none)))
+        padded = max(1, -(-len(found) // (4 * whole))) * whole
+        parts += found, none * (padded - len(found) // 4)
         starts.append(at)
-        at += len(padded)
-    return np.concatenate(parts) if parts else np.empty(0, np.int32), np.array(starts, np.int64)
+        at += padded
+    return np.frombuffer(b"".join(parts), np.int32), np.array(starts, np.int64)
 
 
 def _sketch(ids: np.ndarray, signs: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, passages that have each, rows of T'(T R)) for passages of that many words; signs' last row is zero."""
+    """(terms, passages that have each, rows of T'(T R)) for passages of that many words, under 128; signs' last row is zero."""
     count, none = len(ids) // passage, len(signs) - 1
-    y = signs[ids].reshape(count, passage, -1).sum(1)
+    y = np.empty((count, signs.shape[1]), np.int32)
+    for at in range(0, count, 256):
+        some = signs.take(ids[at * passage:(at + 256) * passage], 0, mode="clip")
+        y[at:at + 256] = some.reshape(-1, passage, signs.shape[1]).sum(1, dtype=np.int8)
     known = np.flatnonzero(ids != none)
     key = np.sort(ids[known].astype(np.int64) * max(1, count) + known // passage)
     if not len(key):
@@ -100,7 +112,22 @@ def _sketch(ids: np.ndarray, signs: np.ndarray, passage: int) -> tuple[np.ndarra
     of, at = key // count, key % count
     starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
     fresh = np.concatenate(([True], key[1:] != key[:-1]))
-    return of[starts], np.add.reduceat(fresh.astype(np.int64), starts), np.add.reduceat(y[at], starts, axis=0).astype(np.float64)
+    sizes = np.diff(np.append(starts, len(key)))
+    order = np.argsort(-sizes, kind="stable")  # terms by their number of rows of y, so that the k-th rows of all are added at once
+    first, sizes = starts[order], sizes[order]
+    sums = np.empty((len(starts), signs.shape[1]), np.int32)
+    often = int(np.searchsorted(-sizes, -OFTEN))
+    for i in range(often):
+        np.add.reduce(y.take(at[first[i]:first[i] + sizes[i]], 0, mode="clip"), axis=0, out=sums[i])
+    sums[often:] = y.take(at[first[often:]], 0, mode="clip")
+    for k in range(1, OFTEN):
+        more = int(np.searchsorted(-sizes, -k))
+        if more <= often:
+            break
+        sums[often:more] += y.take(at[first[often:more] + k], 0, mode="clip")
+    out = np.empty(sums.shape)
+    out[order] = sums
+    return of[starts], np.add.reduceat(fresh.astype(np.int64), starts), out
 
 
 def _basis(idf: np.ndarray, sums: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -119,7 +146,7 @@ def _basis(idf: np.ndarray, sums: np.ndarray, signs: np.ndarray) -> np.ndarray:
 
 
 def signs_of(terms: int, rank: int, seed: int) -> np.ndarray:
-    r = np.random.default_rng(seed).integers(0, 2, (terms + 1, rank)).astype(np.float32) * 2 - 1
+    r = np.random.default_rng(seed).integers(0, 2, (terms + 1, rank)).astype(np.int8) * 2 - 1
     r[-1] = 0
     return r
 
@@ -128,8 +155,10 @@ def _windows(sums: dict[int, np.ndarray], k: int) -> np.ndarray:
     """Sums of k rows from each row of sums[1] on (of what there is at the end), made of those of fewer rows."""
     if k not in sums:
         top = 1 << (k - 1).bit_length() - 1
-        out, rest = _windows(sums, top).copy(), _windows(sums, k - top)
-        out[:-top] += rest[top:]
+        most, rest = _windows(sums, top), _windows(sums, k - top)
+        out, whole = np.empty_like(most), max(0, len(most) - top)
+        np.add(most[:whole], rest[top:], out=out[:whole])
+        out[whole:] = most[whole:]
         sums[k] = out
     return sums[k]
 
@@ -144,38 +173,70 @@ class Search:
     scales: dict[int, tuple[np.ndarray, np.ndarray]]  # by scale: passages' places, unit vectors in columns
 
     def _at(self, place: np.ndarray, term: np.ndarray) -> np.ndarray:
-        return (place * np.int64(len(self.terms) + 1) + term) * np.int64(0x9E3779B97F4A7C1) >> 8 & (len(self.cells) - 1)
+        return (place * np.int64(len(self.terms) + 1) + term) * np.int64(0x9E3779B97F4A7C1) >> 8 & (8 * len(self.cells) - 1)
+
+    def _has(self, place: np.ndarray, term: np.ndarray) -> np.ndarray:
+        at = self._at(place, term)
+        return (self.cells[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)
 
     def prepare(self) -> None:
-        """cells: whether a passage has a term, by hash, so that the memory grows with the passages' words alone; an
-        accident lets a candidate through to the check. need: how many distinct terms a leak shares at least."""
+        """cells: bits of whether a passage has a term, by hash, so that the memory grows with the passages' words alone;
+        an accident lets a candidate through to the check. need: how many distinct terms a leak shares at least."""
         if not hasattr(self, "cells"):
             words = [np.array(sorted(set(p.terms))) for p in self.passages]
             sizes = np.array([len(w) for w in words], np.int64)
-            self.cells = np.zeros(1 << int(8 * sizes.sum() + 1).bit_length(), bool)
+            self.cells = np.zeros(1 << int(8 * sizes.sum() + 1).bit_length(), np.uint8)
             if len(words):
-                self.cells[self._at(np.repeat(np.arange(len(words)), sizes), np.concatenate(words))] = True
+                at = self._at(np.repeat(np.arange(len(words)), sizes), np.concatenate(words))
+                np.bitwise_or.at(self.cells, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
             self.need = sizes - (1 - COMMON) * np.array([len(p.terms) for p in self.passages])
+            self.codes = _codes(self.terms)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("cells", "need")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cells", "need", "codes")}
+
+    def _units(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct terms of each unit of the texts' words and of what windows that begin in it reach beyond it, in one
+        array, and where each unit's begin there."""
+        none, beyond = len(self.terms), SCALES[-1] + 2 * REACH
+        known = np.flatnonzero(self.ids != none)
+        unit, term = known // UNIT, self.ids[known]
+        also = np.flatnonzero((known % UNIT < beyond) & (unit > 0))
+        key = np.sort(np.concatenate((unit, unit[also] - 1)) * np.int64(none + 1) + np.concatenate((term, term[also])))
+        key = key[np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))]
+        return key % (none + 1), np.searchsorted(key // (none + 1), np.arange(len(self.ids) // UNIT + 2))
+
+    def _possible(self, first: np.ndarray, place: np.ndarray, units: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Which windows lie in a unit that has as many distinct terms of the passage as a leak shares at least."""
+        terms, begin = units
+        pair, of = np.unique(np.maximum(first - REACH, 0) // UNIT * np.int64(len(self.passages)) + place, return_inverse=True)
+        unit, passage = pair // len(self.passages), pair % len(self.passages)
+        out = np.empty(len(pair), bool)
+        for some in np.array_split(np.arange(len(pair)), 1 + len(pair) // 1_000):
+            sizes = begin[unit[some] + 1] - begin[unit[some]]
+            ends = np.cumsum(sizes)
+            near = terms[np.repeat(begin[unit[some]] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+            hits = np.append(0, np.cumsum(self._has(np.repeat(passage[some], sizes), near)))
+            out[some] = hits[ends] - hits[ends - sizes] >= self.need[passage[some]]
+        return out[of]
 
     def candidates(self, texts: list[str | None], cosine: Sequence[float] = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
         """(windows' first words, passages' places, cosines, whether they share enough distinct terms, scale) for blocks of
         the windows and passages whose cosine is high enough; self.ids and self.starts are the texts' words."""
         self.prepare()
-        self.ids, self.starts = ids, starts = _encode(texts, self.terms, BLOCK)
+        self.ids, self.starts = ids, starts = _encode(texts, self.codes, BLOCK)
         if not len(ids):
             return
-        ends = np.append(starts[1:], len(ids))
-        blocks = self.embed[ids[0::BLOCK]]
-        for i in range(1, BLOCK):
-            blocks += self.embed[ids[i::BLOCK]]
-        sums = {1: blocks}
-        for scale, least in zip(SCALES, cosine, strict=True):
-            if scale not in self.scales:
-                continue
-            windows = _windows(sums, scale // BLOCK)
+        ends, units = np.append(starts[1:], len(ids)), self._units()
+        scales = [(scale, least) for scale, least in zip(SCALES, cosine, strict=True) if scale in self.scales]
+        for begin, (scale, least) in product(range(0, len(ids), STRIP * BLOCK), scales):
+            if scale == scales[0][0]:
+                some = ids[begin:begin + STRIP * BLOCK + SCALES[-1] - BLOCK]
+                blocks = self.embed.take(some[0::BLOCK], 0, mode="clip")
+                for i in range(1, BLOCK):
+                    blocks += self.embed.take(some[i::BLOCK], 0, mode="clip")
+                sums = {1: blocks}
+            windows = _windows(sums, scale // BLOCK)[:STRIP]
             for k in [k for k in sums if k not in KEPT[scale]]:
                 del sums[k]
             places, vectors = self.scales[scale]
@@ -184,20 +245,21 @@ class Search:
             reach = np.arange(-REACH, scale + REACH)
             for column in range(0, len(places), COLUMNS):
                 cosines = windows @ vectors[:, column:column + COLUMNS]
-                w, p = np.nonzero(cosines >= bound)
-                for some in np.array_split(np.arange(len(w)), 1 + len(w) // 1_000):
-                    first, place = w[some] * BLOCK, places[column + p[some]]
-                    text = np.searchsorted(starts, first, "right") - 1
-                    at = first[:, None] + reach
+                cell = np.flatnonzero(cosines >= bound)
+                w, p = np.divmod(cell, cosines.shape[1])
+                first, place = begin + w * BLOCK, places[column + p]
+                enough = self._possible(first, place, units)
+                left = np.flatnonzero(enough)
+                for some in np.array_split(left, 1 + len(left) // 1_000):
+                    text = np.searchsorted(starts, first[some], "right") - 1
+                    at = first[some, None] + reach
                     inside = (at >= starts[text, None]) & (at < ends[text, None])
                     near = np.where(inside, ids[np.clip(at, 0, len(ids) - 1)], len(self.terms))
-                    hits = self.cells[self._at(place[:, None], near)] & (near < len(self.terms))
-                    enough = hits.sum(1) >= self.need[place]  # repeats counted; without them only for the few that are left
-                    left = np.flatnonzero(enough)
-                    own = np.sort(np.where(hits[left], near[left], len(self.terms)), axis=1)
-                    distinct = (own < len(self.terms)) & np.concatenate((np.ones((len(left), 1), bool), own[:, 1:] != own[:, :-1]), axis=1)
-                    enough[left] = distinct.sum(1) >= self.need[place[left]]
-                    yield first, place, cosines[w[some], p[some]] / norms[w[some]], enough, scale
+                    hits = self._has(place[some, None], near) & (near < len(self.terms))
+                    own = np.sort(np.where(hits, near, len(self.terms)), axis=1)
+                    distinct = (own < len(self.terms)) & np.concatenate((np.ones((len(some), 1), bool), own[:, 1:] != own[:, :-1]), axis=1)
+                    enough[some] = distinct.sum(1) >= self.need[place[some]]
+                yield first, place, cosines.ravel()[cell] / norms[w], enough, scale
 
     def leaks(self, texts: list[str | None], first_only: bool = False) -> Iterator[tuple[int, object, float, float]]:
         """(text, item, cosine, share of a passage's words in the common subsequence), each text and item at most once: of
@@ -244,15 +306,16 @@ def fit_search(corpus: DataFrame, rows: list[tuple], text_col: str, rank: int =
     words = sorted({w for _, text, answer in rows for w in tokens(text)})
     terms = {w: i for i, w in enumerate(words)}
     signs = signs_of(len(words), rank, seed)
-    held: Broadcast = corpus.sparkSession.sparkContext.broadcast(terms)
+    codes = _codes(terms)
+    held: Broadcast = corpus.sparkSession.sparkContext.broadcast(codes)
     long = SCALES[-1]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms_ = held.value
-        signs_ = signs_of(len(terms_), rank, seed)
-        seen, sums, count = np.zeros(len(terms_), np.int64), np.zeros((len(terms_), signs_.shape[1])), 0
-        for batch in _pieces(batches, 0):
-            ids, _ = _encode([t for t in batch.column(0).to_pylist() if t], terms_, long)
+        codes_ = held.value
+        signs_ = signs_of(len(codes_), rank, seed)
+        seen, sums, count = np.zeros(len(codes_), np.int64), np.zeros((len(codes_), signs_.shape[1])), 0
+        for batch in _pieces(batches, 0, 512):
+            ids, _ = _encode([t for t in batch.column(0).to_pylist() if t], codes_, long)
             of, n, s = _sketch(ids, signs_, long)
             seen[of] += n
             sums[of] += s
@@ -267,7 +330,7 @@ def fit_search(corpus: DataFrame, rows: list[tuple], text_col: str, rank: int =
     flat = np.zeros(len(words) * (rank + 1) + 1)
     flat[got.column(0).to_numpy()] = got.column(1).to_numpy()  # the passages' number is the last
     seen, sums, count = flat[:-1].reshape(len(words), rank + 1)[:, 0], flat[:-1].reshape(len(words), rank + 1)[:, 1:].copy(), flat[-1]
-    ids, _ = _encode([r[1] for r in rows], terms, long)
+    ids, _ = _encode([r[1] for r in rows], codes, long)
     if len(ids):
         of, n, s = _sketch(ids, signs, long)
         seen[of] += n

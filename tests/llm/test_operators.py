@@ -757,6 +757,82 @@ def test_sketch_is_the_gram_matrix_times_the_signs():
     assert np.array_equal(full, t.T @ t @ signs[:-1]) and np.array_equal(n, (t > 0).sum(0)[of])
 
 
+def test_sketch_of_a_long_text_is_exact():
+    passage = np.zeros(64, np.int32)
+    passage[1] = 1
+    signs = next(r for r in (decontam.signs_of(2, 1, i) for i in range(99)) if r[0] > r[1])
+    rng = np.random.default_rng(16)
+    ids = np.concatenate([np.tile(passage, 5_000), rng.integers(2, 3, 64 * 3, np.int32)])  # sums of over 2^24
+    of, n, s = decontam._sketch(ids, signs, 64)
+    assert of.tolist() == [0, 1] and n.tolist() == [5_000, 5_000] and s.tolist() == [[63 * 62 * 5_000], [62 * 5_000]]
+    for _ in range(20):  # terms of few and of many rows
+        ids = np.minimum(rng.geometric(0.02, 64 * rng.integers(1, 40)) - 1, 300).astype(np.int32)
+        signs = decontam.signs_of(300, 5, 2)
+        of, n, s = decontam._sketch(ids, signs, 64)
+        t = np.stack([np.bincount(p, minlength=301)[:300] for p in ids.reshape(-1, 64)])
+        full = t.T @ t @ signs[:-1].astype(np.int64)
+        assert np.array_equal(s, full[of]) and np.array_equal(n, (t > 0).sum(0)[of]) and not t[:, np.setdiff1d(np.arange(300), of)].any()
+
+
+def made_search(rng, words, count):
+    """A search for random passages, its terms' vectors random."""
+    terms = {w.encode(): i for i, w in enumerate(words)}
+    embed = np.append(rng.normal(size=(len(words), 24)), np.zeros((1, 24)), axis=0).astype(np.float32)
+    passages, scales = [], {}
+    for i in range(count):
+        own = rng.integers(0, len(words), rng.choice([12, 20, 30, 45, 60, 64])).tolist()
+        v = embed[own].sum(0)
+        kept = scales.setdefault(next(s for s in decontam.SCALES if len(own) <= s), ([], []))
+        kept[0].append(i)
+        kept[1].append(v / np.linalg.norm(v))
+        passages.append(decontam.Passage(i, own, set(own[:3])))
+    return decontam.Search(terms, embed, passages, {s: (np.array(p), np.stack(v, axis=1)) for s, (p, v) in sorted(scales.items())})
+
+
+def test_windows_are_compared_in_strips_and_units_without_a_loss(monkeypatch):
+    rng = np.random.default_rng(17)
+    words = [f"w{i}" for i in range(60)]
+    search = made_search(rng, words, 12)
+    texts = [" ".join(rng.choice(words + ["other"] * 30, n)) for n in (0, 1, 3, 900, 40, 200, 2_500)] + [None]
+    texts += [f"{texts[5]} {' '.join(words[t] for t in p.terms)} {texts[4]}" for p in search.passages]
+    full = {}
+    for scale, (places, vectors) in search.scales.items():  # by hand, with all words of a window and its surroundings
+        ids, starts = decontam._encode(texts, decontam._codes(search.terms), decontam.BLOCK)
+        ends = np.append(starts[1:], len(ids))
+        for at in range(0, len(ids), decontam.BLOCK):
+            v = search.embed[ids[at:at + scale]].sum(0)
+            cosines = v @ vectors / (np.linalg.norm(v) or np.inf)
+            text = np.searchsorted(starts, at, "right") - 1
+            near = set(ids[max(starts[text], at - decontam.REACH):min(ends[text], at + scale + decontam.REACH)].tolist())
+            for i, c in zip(places.tolist(), cosines.tolist()):
+                own = search.passages[i].terms
+                full[at, i] = c, len(near & set(own)) >= len(set(own)) - (1 - decontam.COMMON) * len(own)
+    leaks = None
+    for strip, unit in ((2_048, 256), (1, 128), (5, 160), (100, 1_000)):
+        monkeypatch.setattr(decontam, "STRIP", strip)
+        monkeypatch.setattr(decontam, "UNIT", unit)
+        got = [(int(f), int(p), float(c), bool(e)) for fs, ps, cs, es, _ in search.candidates(texts) for f, p, c, e in zip(fs, ps, cs, es)]
+        found = {(f, p): (c, e) for f, p, c, e in got}
+        assert len(got) == len(found) and found.keys() >= {k for k, (c, _) in full.items() if c > 0.401}
+        assert all(abs(c - full[k][0]) < 1e-4 and e >= full[k][1] for k, (c, e) in found.items())
+        assert sum(e > full[k][1] for k, (_, e) in found.items()) <= 0.02 * len(found)  # accidents of a hash
+        told = sorted((t, i, round(s, 9)) for t, i, _, s in search.leaks(texts))
+        assert {(len(texts) - 12 + i, i) for i in range(12)} <= {(t, i) for t, i, _ in told} and told == (leaks or told)
+        leaks = told
+
+
+def test_few_windows_are_looked_at_word_by_word(monkeypatch):
+    rng = np.random.default_rng(18)
+    words = [f"w{i}" for i in range(3_000)]
+    search = made_search(rng, words, 40)
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(60)]
+    looked, at = [], decontam.Search._at
+    search.prepare()
+    monkeypatch.setattr(decontam.Search, "_at", lambda self, place, term: looked.append(np.broadcast(place, term).size) or at(self, place, term))
+    windows = sum(len(first) for first, *_ in search.candidates(texts, (0.2,) * 5))
+    assert windows > 10_000 and sum(looked) < 40 * windows  # a window and its surroundings have 80 words at least
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 
 
